@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +29,8 @@ from .common import batches, columns_of
 SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Chunks remembered in a worker before the memory starts anew.
-CACHE = 400_000
+#: Chunks that each of a worker's two generations remembers.
+CACHE = 500_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -319,31 +319,61 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-class Rendered(dict):
-    """Chunk -> (number of ids, ids as text, tokens as text); renders what it lacks."""
+class Remembered(dict):
+    """What chunks become. Two generations: when one is full the older goes, and what is met again stays."""
 
     def __init__(self, path: str):
-        self.codec = codec(path)
+        self.codec, self.old = codec(path), {}
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.codec.of(chunk)
-        d = Decoder(self.codec.names)
-        self[chunk] = found = (len(ids), " ".join(map(str, ids)), "".join(map(d.push, ids)))
+    def make(self, chunk: str):
+        raise NotImplementedError
+
+    def __missing__(self, chunk: str):
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        self.keep(chunk, found)
         return found
 
+    def keep(self, chunk: str, found) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+
+
+class Rendered(Remembered):
+    """Chunk -> (number of ids, ids as text, tokens as text)."""
+
+    def make(self, chunk: str) -> tuple[int, str, str]:
+        ids = self.codec.of(chunk)
+        return len(ids), " ".join(map(str, ids)), "".join(map(Decoder(self.codec.names).push, ids))
 
-class Packed(dict):
-    """Chunk -> its ids as little-endian 32-bit numbers."""
+
+class Packed(Remembered):
+    """Chunk -> its ids as little-endian 32-bit numbers. Chunks not met before go to the tokenizers library,
+    many at a time."""
 
     def __init__(self, path: str):
-        self.codec = codec(path)
+        super().__init__(path)
+        from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = array("I", self.codec.of(chunk))
-        if array("I", [1]).tobytes()[0] != 1:
-            found.byteswap()
-        self[chunk] = out = found.tobytes()
-        return out
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def make(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode what is new in these lists of chunks."""
+        new = set().union(*texts).difference(self)
+        for c in [c for c in new if c in self.old]:
+            self.keep(c, self.old[c])
+            new.discard(c)
+        many = list(new)
+        for c, e in zip(many, self.library.encode_batch_fast(many, add_special_tokens=False), strict=True):
+            self.keep(c, np.array(e.ids, "<u4").tobytes())
 
 
 @lru_cache(maxsize=1)
@@ -366,8 +396,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for part in batches(parts):
             n, ids, decoded = [], [], []
             for text in part.column("text").to_pylist():
-                if len(known) > CACHE:
-                    known.clear()
                 got = [x for x in map(known.__getitem__, known.codec.chunks(text or "")) if x[0]]
                 n.append(sum(x[0] for x in got))
                 ids.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())

@@ -50,6 +50,16 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few dozen bytes each that a join may carry to every executor (some 10 MB).
+BROADCAST_ROWS = 250_000
+
+
+def small_or_shuffled(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint for the smaller side of a join, after its rows were counted: a broadcast up to ``most``, beyond
+    that a hash join of shuffled sides."""
+    return F.broadcast(side) if rows <= most else side.hint("shuffle_hash")
+
+
 def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what one batch holds and gives stays bounded."""
     for part in parts:
@@ -69,12 +79,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     ``min`` by node, which is combined before the shuffle, and a join that Spark may split, so no node's
     neighbours are gathered. The driver sees one count and one checksum a round.
     """
-    spark = links.sparkSession
-    if hasattr(links, "_shared_path"):
-        edges = links.select("a", "b").filter("a <> b").distinct()
-    else:
-        edges = links.select("a", "b").filter("a <> b").distinct()
-    edges = write_table(edges, name)
+    edges = write_table(links.select("a", "b").filter("a <> b").distinct(), name)
     seen = None
     while True:
         # large star: link every larger neighbour to the smallest of the neighbourhood

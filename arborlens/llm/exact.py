@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, salt
+from .common import columns_of, salt, small_or_shuffled, write_table
 
 #: Rows that compare with one copy of the row that stays.
 EACH = 2000
@@ -31,19 +31,25 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, hashed=content_hash, each: int = EACH) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256. ``hashed`` may be a weaker hash, for tests."""
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256. ``hashed`` may be a weaker hash, for tests.
+
+    Only hashes are grouped. Texts move for the members of groups of two and more alone, and where the list
+    of such groups is small (it is counted) not even theirs: the list goes to the texts.
+    """
     rows = columns_of(docs).select("doc_id", normalised(F.col("text")).alias("body")).withColumn("h", hashed(F.col("body")))
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = rows.join(groups.hint("shuffle_hash"), "h")
-    alone = found.filter("group_size = 1").select("doc_id", "keep_id", "group_size", "body")
+    keys = write_table(rows.select("doc_id", "h", F.unhex(F.sha2("body", 256)).alias("sha")), "keys")
+    groups = write_table(keys.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
+    listed = small_or_shuffled(groups, groups.count())
+    alone = keys.join(listed, "h", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
 
-    several = found.filter("group_size > 1").withColumn("s", salt(F.col("doc_id"), F.col("group_size"), each))
+    several = write_table(rows.join(listed, "h").withColumn("s", salt(F.col("doc_id"), F.col("group_size"), each)), "several")
     stays = several.filter("doc_id <=> keep_id").groupBy("h").agg(F.min("body").alias("kept_body"), F.first("group_size").alias("n"))
     copies = stays.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / F.lit(each)), F.lit(1)).cast("long") - 1))).drop("n")
-    compared = several.join(copies, ["h", "s"]).withColumn("same", F.col("body") == F.col("kept_body")).drop("kept_body", "s")
-    differ = compared.filter("not same")
+    compared = several.join(copies, ["h", "s"]).withColumn("same", F.col("body") == F.col("kept_body")).withColumn("text_sha256", F.sha2("body", 256))
+    found = write_table(compared.select("doc_id", "h", "keep_id", "group_size", "same", "text_sha256", F.when(~F.col("same"), F.col("body")).alias("body")), "compared")
+    differ = found.filter("not same")
     fewer = differ.groupBy("h").agg(F.count(F.lit(1)).alias("less"))
-    same = compared.filter("same").join(fewer, "h", "left").select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), "body")
+    same = found.filter("same").join(fewer, "h", "left").select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), "text_sha256")
     anew = differ.groupBy("h", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    others = differ.drop("keep_id", "group_size").join(anew, ["h", "body"]).select("doc_id", "keep_id", "group_size", "body")
-    return alone.unionByName(same).unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("body", 256).alias("text_sha256"))
+    others = differ.drop("keep_id", "group_size").join(anew, ["h", "body"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    return alone.unionByName(same).unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

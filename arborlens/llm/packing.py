@@ -37,10 +37,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         stop = int(end).to_bytes(4, "little")
         for part in batches(parts):
             rows: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if len(known) > bpe.CACHE:
-                    known.clear()
-                ids = b"".join(map(known.__getitem__, known.codec.chunks(text or ""))) + stop
+            texts = [known.codec.chunks(t or "") for t in part.column("text").to_pylist()]
+            known.learn(texts)
+            for doc_id, chunks in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                ids = b"".join(map(known.__getitem__, chunks)) + stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), n))
