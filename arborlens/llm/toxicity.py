@@ -2,8 +2,8 @@
 
 A word's features are itself and its character n-grams, hashed into ``BUCKETS`` rows of an embedding, so a
 misspelling never seen shares most rows with its word. A document is the average over the features of its
-distinct words; a softmax of two classes reads it. Embedding and softmax are trained together (Adam on
-small batches) on at most ``MAX_ROWS`` labelled documents, those of the smallest hash of doc_id, whose
+distinct words (times the root of their number); a softmax of two classes reads it. Embedding and softmax are trained together (gradient steps
+on small batches) on at most ``MAX_ROWS`` labelled documents, those of the smallest hash of doc_id, whose
 crc32(doc_id as text) mod 5 isn't 0. Averaging and softmax are linear, so for scoring the two fold into one
 number a bucket, which is all that tasks carry.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of
 
-BUCKETS, DIM, GRAMS, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 4000, 8, 7
-MIN_DOCS, DECAY = 5, 0.1
+BUCKETS, DIM, GRAMS, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 6000, 8, 7
+MIN_DOCS, DECAY, RATE = 5, 1e-4, 10.0
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words remembered in a worker.
 CACHE = 500_000
@@ -45,12 +45,13 @@ def features(word: str) -> list[int]:
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights that add up to 1) of a text's distinct words."""
+    """(buckets, weights) of a text's distinct words: their average, times the root of how many features there
+    are, so that a few telling words do not fade in a long text."""
     all_ = [f for w in sorted(words_of(text)) for f in features(w)]
     if not all_:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     at, n = np.unique(np.array(all_, np.int64), return_counts=True)
-    return at, (n / n.sum()).astype(np.float32)
+    return at, (n / np.sqrt(n.sum())).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
@@ -60,38 +61,34 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float
     rng = np.random.default_rng(SEED)
     bags = [bag(t) for t in texts]
     y = np.array(labels, np.int64)
-    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=BUCKETS) >= MIN_DOCS
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * seen[:, None]  # what few rows hold stays at nought
-    soft, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    weight = (len(y) / (2.0 * np.bincount(y, minlength=2))).astype(np.float32)  # both classes count the same
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
-    step, scale = 0, 20.0
+    seen = np.bincount(np.concatenate([at for at, _ in bags]), minlength=BUCKETS) >= MIN_DOCS
+    # what few rows hold stays at nought and needs no step; it still counts in the average
+    bags = [(at[k], w[k]) for at, w in bags for k in [seen[at]]]
+    table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32) * seen[:, None]
+    soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    weight = ((len(y) / (2.0 * np.bincount(y, minlength=2))) ** 0.75).astype(np.float32)  # the rarer class counts more
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
+        fade = 1 - epoch / EPOCHS
         for lo in range(0, len(y), 64):
             rows = order[lo : lo + 64]
             at = np.concatenate([bags[r][0] for r in rows])
-            w = np.concatenate([bags[r][1] for r in rows]) * scale
+            w = np.concatenate([bags[r][1] for r in rows])
             of = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            x = np.stack([np.bincount(of, w * table[at, k], len(rows)) for k in range(DIM)], 1).astype(np.float32)
+            used, place = np.unique(at, return_inverse=True)
+            e = table[used]
+            x = np.stack([np.bincount(of, w * e[place, k], len(rows)) for k in range(DIM)], 1).astype(np.float32)
             z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             g = p * weight[y[rows]][:, None] / len(rows)
             back = (g @ soft.T)[of] * w[:, None]
-            used = np.unique(at)
-            used = used[seen[used]]
-            grad = np.stack([np.bincount(at, back[:, k], BUCKETS) for k in range(DIM)], 1)[used].astype(np.float32)
-            step += 1
-            rate = 0.02 * (1 - epoch / EPOCHS)
-            for k, (param, d, where) in enumerate(((table, grad, used), (soft, x.T @ g, slice(None)), (bias, g.sum(0), slice(None)))):
-                m, v = moments[k]
-                m[where] = 0.9 * m[where] + 0.1 * d
-                v[where] = 0.99 * v[where] + 0.01 * d * d
-                param[where] -= rate * ((m[where] / (1 - 0.9**step)) / (np.sqrt(v[where] / (1 - 0.99**step)) + 1e-8) + DECAY * param[where])
-    turn = soft[:, 1] - soft[:, 0]
-    return (table @ turn * scale).astype(np.float32), float(bias[1] - bias[0])
+            grad = np.stack([np.bincount(place, back[:, k], len(used)) for k in range(DIM)], 1)
+            table[used] = e - RATE * fade * (grad + DECAY * e)
+            soft -= 0.05 * fade * (x.T @ g)
+            bias -= (0.05 * fade * g.sum(0)).astype(np.float32)
+    return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 class Scorer:
@@ -111,7 +108,7 @@ class Scorer:
                 f = known[w] = (float(self.weights[at].sum()), len(at))
             total += f[0]
             n += f[1]
-        return self.bias + (total / n if n else 0.0)
+        return self.bias + (total / n**0.5 if n else 0.0)
 
 
 def fold(doc_id: Column) -> Column:
