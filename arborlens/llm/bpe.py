@@ -15,11 +15,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -175,6 +177,7 @@ class Codec:
         self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         self.transducer = Transducer(self.merges)
         self.letters = byte_letters()
+        self.latin = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(128, 0x400)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*spec["model"]["vocab"].items(), *self.special.items()]}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -214,8 +217,10 @@ class Codec:
         vocab, words = self.merges.vocab, self.words
         if len(words) > CACHE:
             words.clear()
-        if chunk.isascii() and chunk.isprintable():
+        if max(chunk) < "\u0180" and chunk.isprintable():  # Latin letters: composed already, the same in all tables
             parts = self.pattern.findall(chunk.lower())
+            if not chunk.isascii():
+                parts = [w.translate(self.latin) for w in parts]
         else:  # by the library's own tables of letters, which differ from one Unicode version to the next
             parts = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
         out: tuple[int, ...] = ()
@@ -235,7 +240,15 @@ class Codec:
         return out
 
     def of(self, chunk: str) -> tuple[int, ...]:
-        return (self.special[chunk],) if chunk in self.special else self.chunk(chunk)
+        return (self.special[chunk],) if chunk in self.special else self.chunk(chunk) if chunk else ()
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of texts as numbers of a dictionary of them; chunks may be empty."""
+        if not any("<|" in t or _ODD.search(t) for t in texts.to_pylist()):
+            lists = pc.utf8_split_whitespace(texts)  # cuts where str.split does
+        else:
+            lists = pa.array([self.chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_encode())
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text."""
@@ -320,87 +333,63 @@ def codec(path: str) -> Codec:
 
 
 class Remembered(dict):
-    """What chunks become. Two generations: when one is full the older goes, and what is met again stays."""
+    """Chunk -> its ids. Two generations: when one is full the older goes, and what is met again stays."""
 
     def __init__(self, path: str):
         self.codec, self.old = codec(path), {}
 
-    def make(self, chunk: str):
-        raise NotImplementedError
-
-    def __missing__(self, chunk: str):
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         found = self.old.get(chunk)
         if found is None:
-            found = self.make(chunk)
-        self.keep(chunk, found)
-        return found
-
-    def keep(self, chunk: str, found) -> None:
+            found = self.codec.of(chunk)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
         self[chunk] = found
+        return found
 
+    def spread(self, texts: pa.Array) -> tuple[pa.ListArray, list[tuple[int, ...]]]:
+        """Chunks as numbers, and the ids of each number: a chunk is looked up once, however often it stands."""
+        lists = self.codec.split(pc.fill_null(texts, "").cast(pa.string()))
+        return lists, [self[c] for c in lists.values.dictionary.to_pylist()]
 
-class Rendered(Remembered):
-    """Chunk -> (number of ids, ids as text, tokens as text)."""
-
-    def make(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.codec.of(chunk)
-        return len(ids), " ".join(map(str, ids)), "".join(map(Decoder(self.codec.names).push, ids))
-
-
-class Packed(Remembered):
-    """Chunk -> its ids as little-endian 32-bit numbers. Chunks not met before go to the tokenizers library,
-    many at a time."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def make(self, chunk: str) -> bytes:
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode what is new in these lists of chunks."""
-        new = set().union(*texts).difference(self)
-        for c in [c for c in new if c in self.old]:
-            self.keep(c, self.old[c])
-            new.discard(c)
-        many = list(new)
-        for c, e in zip(many, self.library.encode_batch_fast(many, add_special_tokens=False), strict=True):
-            self.keep(c, np.array(e.ids, "<u4").tobytes())
+def _joined(lists: pa.ListArray, by_chunk: pa.Array, parted: str | None) -> pa.Array:
+    """What each text's chunks stand for, joined; nulls are left out."""
+    values = by_chunk.take(lists.values.indices)
+    if parted is None:
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, values), b"")
+    stay = values.is_valid().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(stay)])[lists.offsets.to_numpy()].astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), values.drop_null()), parted)
 
 
-@lru_cache(maxsize=1)
-def rendered(path: str) -> Rendered:
-    """A worker's own, kept from task to task."""
-    return Rendered(path)
+def packed_ids(known: Remembered, texts: pa.Array) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit numbers."""
+    lists, ids = known.spread(texts)
+    pack = struct.Struct
+    return _joined(lists, pa.array([pack(f"<{len(x)}I").pack(*x) for x in ids], pa.binary()), None).to_pylist()
 
 
 @lru_cache(maxsize=1)
-def packed(path: str) -> Packed:
+def remembered(path: str) -> Remembered:
     """A worker's own, kept from task to task."""
-    return Packed(path)
+    return Remembered(path)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encoded ids are decoded again."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = rendered(path)
+        known = remembered(path)
+        names = known.codec.names
         for part in batches(parts):
-            n, ids, decoded = [], [], []
-            for text in part.column("text").to_pylist():
-                got = [x for x in map(known.__getitem__, known.codec.chunks(text or "")) if x[0]]
-                n.append(sum(x[0] for x in got))
-                ids.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lists, ids = known.spread(part.column("text"))
+            numbers = _joined(lists, pa.array([" ".join(map(str, x)) if x else None for x in ids], pa.string()), " ")
+            decoded = _joined(lists, pa.array(["".join(map(Decoder(names).push, x)) if x else None for x in ids], pa.string()), " ")
+            n = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[lists.values.indices.to_numpy()])])[lists.offsets.to_numpy()]
+            digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in y.to_pylist()]) for y in (numbers, decoded)]
+            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(n)), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return columns_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

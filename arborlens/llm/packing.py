@@ -33,14 +33,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """Per piece of a document: doc_id, piece, start, length, ids_crc32 and a number to deal it by."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = bpe.packed(path), TaskContext.get().partitionId() << 40
+        known, n = bpe.remembered(path), TaskContext.get().partitionId() << 40
         stop = int(end).to_bytes(4, "little")
         for part in batches(parts):
             rows: list[tuple] = []
-            texts = [known.codec.chunks(t or "") for t in part.column("text").to_pylist()]
-            known.learn(texts)
-            for doc_id, chunks in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                ids = b"".join(map(known.__getitem__, chunks)) + stop
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.packed_ids(known, part.column("text")), strict=True):
+                ids += stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), n))
