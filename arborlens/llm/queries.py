@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, media, minhash, packing, passages, toxicity
+from . import bpe, exact, lines, media, minhash, packing, passages, secrets, suffixes, toxicity
 from .common import read_documents
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_documents(spark, sf_dir), words=3, percent=85)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.byte_digest(read_documents(spark, sf_dir), length=100)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(read_documents(spark, sf_dir), min_docs=10, min_chars=1)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_documents(spark, sf_dir), bpe.vocabulary_path("word_bpe_49k.json"))
 
@@ -47,8 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash": op2_minhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_media": op4_media,
     "op5_line_dedup": op5_line_dedup,
+    "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
