@@ -24,6 +24,18 @@ def columns_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns of the input in one struct ``rest``, where no name can clash."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("rest"))
+
+
+def restored(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with the new text, and n_chars in step with it if there is one."""
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return done.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a local one is made only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

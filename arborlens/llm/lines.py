@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, write_table
+from .common import batches, carried, columns_of, restored, small_or_shuffled, write_table
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Lines (with repeats) to a shard, on average.
@@ -154,8 +154,8 @@ def index(counts: DataFrame, shards: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, each: int = EACH) -> DataFrame:
-    """Per document: doc_id, text (lines that stay), n_lines, n_dropped."""
-    docs = columns_of(docs)
+    """Per document: doc_id, text (lines that stay), n_lines, n_dropped, rest (the row as it was)."""
+    whole, docs = carried(docs), columns_of(docs)
     counts = write_table(line_counts(docs, min_chars), "linecounts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     above = max(total // HOT, 1)
@@ -182,7 +182,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, each: i
 
     routed = docs.mapInArrow(probes, "doc_id long, digest binary, shard int")
     hits = routed.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(probe, "doc_id long, digest binary")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")).withColumnRenamed("doc_id", "hit_id")
+    by_doc = write_table(hits.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")).withColumnRenamed("doc_id", "hit_id"), "hits")
+    by_doc = small_or_shuffled(by_doc, by_doc.agg(F.sum(F.size("gone"))).first()[0] or 0)
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
@@ -196,10 +197,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, each: i
                 texts.append(text or "")
                 lines.append(len(digests))
                 dropped.append(len(digests) - len(stay))
-            yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), part.column("rest")], ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    joined = docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(by_doc["hit_id"]), "left").drop("hit_id")
-    return joined.mapInArrow(keep, "doc_id long, text string, n_lines long, n_dropped long")
+    joined = whole.join(by_doc, whole["doc_id"].eqNullSafe(by_doc["hit_id"]), "left").drop("hit_id")
+    return joined.mapInArrow(keep, f"doc_id long, text string, n_lines long, n_dropped long, rest {whole.schema['rest'].dataType.simpleString()}")
+
+
+def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """The rows with repeated lines gone from their text; other columns as they are, n_chars in step."""
+    return restored(dedup_lines(docs, min_docs, min_chars), docs)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -207,4 +213,4 @@ def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     return dedup_lines(docs, min_docs, min_chars).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-__all__ = ["PerfectHash", "dedup_lines", "index", "keys", "line_counts", "line_digest"]
+__all__ = ["PerfectHash", "dedup_lines", "index", "keys", "line_counts", "line_digest", "without_lines"]

@@ -216,3 +216,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
     out = rows.select("doc_id", "n_shingles", "cls").join(of, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns as they are, without those that a smaller id of their component stands for."""
+    found = write_table(near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    side = small_or_shuffled(found, found.count())
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["gone"]), "left_anti")

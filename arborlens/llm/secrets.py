@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of
+from .common import batches, carried, columns_of, restored
 
 SAMPLE, WIDTH, EPOCHS, SEED, LONGEST = 3000, 1 << 12, 30, 11, 32
 O, B, I = 0, 1, 2
@@ -217,7 +217,7 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Field:
     return field
 
 
-def all_spans(text: str, field: Field, known: dict) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans): those of the field that touch no base span are added."""
     base = base_spans(text)
     found, traits = [], None
@@ -252,7 +252,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
         for part in batches(parts):
             rows = []
             for text in part.column("text").to_pylist():
-                base, spans = all_spans(text or "", field, {})
+                base, spans = all_spans(text or "", field)
                 n = [sum(s[2] == k for s in base) for k in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
             columns = [pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)]
@@ -262,22 +262,20 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def mask(docs: DataFrame, mark: str = "[secret]", field: Field | None = None) -> DataFrame:
-    """doc_id, text with each secret replaced by ``mark``, n_secrets."""
+    """The rows with each secret in their text replaced by ``mark``; other columns as they are, n_chars in step."""
     field = field or train(docs)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
-            texts, n = [], []
+            texts = []
             for text in part.column("text").to_pylist():
-                spans = all_spans(text or "", field, {})[1]
-                out, at, many = [], 0, 0
-                for a, b, _ in spans:
+                text, out, at = text or "", [], 0
+                for a, b, _ in all_spans(text, field)[1]:
                     if a >= at:
                         out += [text[at:a], mark]
-                        many += 1
                     at = max(at, b)
-                texts.append("".join([*out, (text or "")[at:]]))
-                n.append(many)
-            yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["doc_id", "text", "n_secrets"])
+                texts.append("".join([*out, text[at:]]))
+            yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), part.column("rest")], ["doc_id", "text", "rest"])
 
-    return columns_of(docs).mapInArrow(run, "doc_id long, text string, n_secrets long")
+    rows = carried(docs)
+    return restored(rows.mapInArrow(run, rows.schema), docs)

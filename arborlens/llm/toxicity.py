@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of
+from .common import batches, carried, columns_of
 
 BUCKETS, DIM, GRAMS, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 6000, 8, 7
 MIN_DOCS, DECAY, RATE = 5, 1e-4, 10.0
@@ -137,3 +137,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = columns_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, all columns as they are, whose score is under 0.5."""
+    sample = training_rows(docs, labels)
+    weights, bias = train([t for t, _ in sample], [y for _, y in sample])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights, bias)
+        for part in batches(parts):
+            yield part.filter(pa.array([scorer(t) < 0 for t in part.column("text").to_pylist()], pa.bool_()))
+
+    rows = carried(docs)
+    return rows.mapInArrow(run, rows.schema).select("rest.*")

@@ -1,6 +1,62 @@
-STAGES = []
-ORACLE_SQL = None
+"""A corpus pipeline: documents in, packed training sequences out.
 
+Each stage works on all that the one before kept; its table is written as Parquet and read again.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from arborlens.llm import bpe, lines, minhash, packing, secrets, toxicity
+from arborlens.llm.common import read_documents, write_table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.5 or more go. Learns from labels outside the held-out fold."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go; every document stays."""
+    return lines.without_lines(docs, min_docs=10, min_chars=1)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the smallest doc_id stays."""
+    return minhash.one_of_each(docs, words=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; every document stays."""
+    return secrets.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of the documents in sequences of 4096."""
+    return packing.pack_documents(docs, bpe.vocabulary_path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("best_fit_packing", pack),
+]
+
+#: A classifier and a tokenizer: no SQL.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, over the documents table."""
+    docs = read_documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = write_table(docs, name)
+    return docs
