@@ -48,8 +48,9 @@ def exact_groups(docs: DataFrame, hashed=content_hash, each: int = EACH) -> Data
     compared = several.join(copies, ["h", "s"]).withColumn("same", F.col("body") == F.col("kept_body")).withColumn("text_sha256", F.sha2("body", 256))
     found = write_table(compared.select("doc_id", "h", "keep_id", "group_size", "same", "text_sha256", F.when(~F.col("same"), F.col("body")).alias("body")), "compared")
     differ = found.filter("not same")
+    collided = differ.count()
     fewer = differ.groupBy("h").agg(F.count(F.lit(1)).alias("less"))
-    same = found.filter("same").join(fewer, "h", "left").select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), "text_sha256")
+    same = found.filter("same").join(small_or_shuffled(fewer, collided), "h", "left").select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), "text_sha256")
     anew = differ.groupBy("h", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    others = differ.drop("keep_id", "group_size").join(anew, ["h", "body"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    others = differ.drop("keep_id", "group_size").join(small_or_shuffled(anew, 1000 * collided), ["h", "body"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     return alone.unionByName(same).unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
