@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """Per piece of a document: doc_id, piece, start, length, ids_crc32 and a number to deal it by."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = bpe.remembered(path), TaskContext.get().partitionId() << 40
+        known, n = bpe.compiled(path), TaskContext.get().partitionId() << 40
         stop = int(end).to_bytes(4, "little")
         for part in batches(parts):
             rows: list[tuple] = []
