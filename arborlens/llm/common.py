@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -72,6 +73,13 @@ def small_or_shuffled(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) ->
     return F.broadcast(side) if rows <= most else side.hint("shuffle_hash")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the next
+    step fills the disk. Files of plans still in use stay."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what one batch holds and gives stays bounded."""
     for part in parts:

@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, drop_table, small_or_shuffled, write_table
+from .common import batches, columns_of, drop_table, release, small_or_shuffled, write_table
 
 LENGTH, GRAM, EACH, HOT = 100, 24, 4000, 2000
+#: Rows of two dozen bytes that a join may carry to every executor.
+LISTED = 1_000_000
 #: Longer documents are looked at in blocks; a place in one takes the low 24 bits.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -184,25 +186,44 @@ def _bytes(text: str | None) -> bytes:
 NULL_ID = (1 << 63) - 1  # a null id, where ids are compared: last
 
 
+def _spread(h: np.ndarray, first: np.ndarray, last: np.ndarray, data: bytes, length: int) -> np.ndarray:
+    """A second hash of each run, of all its bytes."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: int = HOT) -> DataFrame:
-    """doc_id, starts array<struct<a, b>>: first and last of the strings to be removed, for documents that have any."""
+    """id, spans array<struct<a, b>>: byte spans to be removed, for documents that have any; id is NULL_ID for null.
+
+    Runs travel as two 64-bit hashes, of the anchor and of the run. Bytes are fetched only for runs that share
+    an anchor and differ, one copy of each.
+    """
+    spark = docs.sparkSession
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
             ids, found = [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = anchors(_bytes(text), length)
+                data = _bytes(text)
+                own = anchors(data, length)
                 ids.append(np.full(len(own[0]), NULL_ID if doc_id is None else doc_id, np.int64))
-                found.append(own)
+                found.append((*own, _spread(*own, data, length)))
             if found:
-                h, a, b = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["h", "id", "a", "b"])
+                h, a, b, d = (np.concatenate([f[k] for f in found]) for k in range(4))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["h", "d", "id", "a", "b"])
 
-    found = write_table(docs.mapInArrow(find, "h long, id long, a int, b int"), "anchors")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    by_doc = write_table(found.join(repeated, "h").groupBy("id").agg(F.collect_set(F.struct("a", "b", "h")).alias("runs")), "runs")
+    found = write_table(docs.mapInArrow(find, "h long, d long, id long, a int, b int"), "anchors")
+    repeated = write_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
+    release(spark)
+    runs = write_table(found.join(small_or_shuffled(repeated, repeated.count(), LISTED), "h"), "runs")
     drop_table(found)
-    side = small_or_shuffled(by_doc, by_doc.agg(F.sum(F.size("runs"))).first()[0] or 0)
+    release(spark)
+    different = write_table(runs.groupBy("h", "d").agg(F.min(F.struct("id", "a", "b")).alias("first")), "different")
+    counts = write_table(different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    several = write_table(different.join(small_or_shuffled(counts, counts.count(), LISTED), "h").select("h", "d", "first.id", "first.a", "first.b", "n"), "several")
+    total = several.filter(F.col("n") <= hot).count()
+    wanted = write_table(several.groupBy("id").agg(F.collect_list(F.struct("h", "d", "a", "b", "n")).alias("runs")), "wanted")
+    side = small_or_shuffled(wanted, several.count(), LISTED)
+    shards = max(1, -(-total // each))
 
     def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 128):
@@ -211,43 +232,52 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
                 data = _bytes(text)
                 for r in runs:
                     own = data[r["a"] : r["b"] + length]
-                    if len(own) == r["b"] - r["a"] + length:
-                        rows.append((r["h"], own, xxhash.xxh3_128_digest(own), doc_id, r["a"], r["b"]))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["h", "own", "d", "id", "a", "b"])
+                    # of rows that share an id, the one that the run came from
+                    if len(own) == r["b"] - r["a"] + length and np.uint64(xxhash.xxh3_64_intdigest(own)).astype(np.int64) == r["d"]:
+                        rows.append((r["h"], r["d"], own, doc_id, r["a"], r["n"]))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()))], ["h", "d", "own", "id", "a", "n"])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    runs = write_table(keyed.join(side, "id").mapInArrow(spell, "h long, own binary, d binary, id long, a int, b int"), "spelled")
-    first = F.min(F.struct("id", "a")).alias("first")
-    different = write_table(runs.groupBy("h", "d", "own").agg(first), "different")
-    counts = different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    several = write_table(different.join(counts, "h").select("h", "d", "own", "first.id", "first.a", "n"), "several")
-    total = several.filter(F.col("n") <= hot).count()
-    shards = max(1, -(-total // each))
+    spelled = write_table(keyed.join(side, "id").mapInArrow(spell, "h long, d long, own binary, id long, a int, n long").dropDuplicates(["h", "d"]), "spelled")
+    release(spark)
 
     def sort(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array([d.hex() for d in table.column("d").to_pylist()]), kind="stable")
+        order = np.lexsort((table.column("d").to_numpy(), table.column("h").to_numpy()))
         table = table.take(pa.array(order))
         later = repeated_starts(table.column("own").to_pylist(), table.column("id").to_numpy(), table.column("a").to_numpy().astype(np.int64), length)
-        return pa.table({"d": table.column("d"), "h": table.column("h"), "later": pa.array(later, pa.list_(pa.int32()))})
+        return pa.table({"h": table.column("h"), "d": table.column("d"), "later": pa.array(later, pa.list_(pa.int32()))})
 
-    dealt = several.filter(F.col("n") <= hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).drop("n")
-    sorted_ = dealt.groupBy("shard").applyInArrow(sort, "d binary, h long, later array<int>")
+    dealt = spelled.filter(F.col("n") <= hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).drop("n")
+    sorted_ = dealt.groupBy("shard").applyInArrow(sort, "h long, d long, later array<int>")
     # hot anchors: string by string, at each offset of the run
-    strings = several.filter(F.col("n") > hot).select("h", "d", "id", "a", F.posexplode(F.expr(f"transform(sequence(1, octet_length(own) - {length - 1}), i -> substring(own, i, {length}))")).alias("o", "s"))
+    strings = spelled.filter(F.col("n") > hot).select("h", "d", "id", "a", F.posexplode(F.expr(f"transform(sequence(1, octet_length(own) - {length - 1}), i -> substring(own, i, {length}))")).alias("o", "s"))
     place = F.struct(F.col("id"), (F.col("a") + F.col("o")).alias("p"))
     least = strings.groupBy("s").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    hot_later = strings.join(least, "s").filter(place != F.col("least")).groupBy("d", "h").agg(F.collect_set("o").alias("later"))
+    hot_later = strings.join(least, "s").filter(place != F.col("least")).groupBy("h", "d").agg(F.collect_set("o").alias("later"))
     later = write_table(sorted_.unionByName(hot_later).filter(F.size("later") > 0), "later")
 
     # a run that isn't the first of its equals goes whole; the first loses what starts earlier in others
-    marked = runs.select("h", "d", "id", "a", "b").join(different.select(F.col("h").alias("h_"), F.col("d").alias("d_"), "first"), (F.col("h") == F.col("h_")) & (F.col("d") == F.col("d_"))).drop("h_", "d_")
-    is_first = F.struct("id", "a") == F.col("first")
-    whole = marked.filter(~is_first).select("id", "a", "b")
-    some = marked.filter(is_first).join(later, ["h", "d"]).select("id", F.explode("later").alias("o"), "a").select("id", (F.col("a") + F.col("o")).alias("a"), (F.col("a") + F.col("o")).alias("b"))
-    return write_table(whole.unionByName(some).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("starts")), "starts")
+    first = different.select("h", "d", F.col("first.id").alias("i"), F.col("first.a").alias("p"))
+    marked = runs.join(first, ["h", "d"])
+    is_first = (F.col("id") == F.col("i")) & (F.col("a") == F.col("p"))
+    whole = marked.filter(~is_first).select("id", F.struct("a", "b").alias("s"))
+    some = later.join(different, ["h", "d"]).select(F.col("first.id").alias("id"), F.explode(F.transform("later", lambda o: F.struct((F.col("first.a") + o).alias("a"), (F.col("first.a") + o).alias("b")))).alias("s"))
+    starts = whole.unionByName(some).groupBy("id").agg(F.collect_set("s").alias("starts"))
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts):
+            spans = [[{"a": a, "b": b} for a, b in merged(s, length)] for s in part.column("starts").to_pylist()]
+            yield pa.record_batch([part.column("id"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "spans"])
+
+    out = write_table(starts.mapInArrow(merge, "id long, spans array<struct<a int, b int>>"), "spans")
+    for t in (repeated, runs, different, counts, several, wanted, spelled, later):
+        drop_table(t)
+    release(spark)
+    return out
 
 
 def merged(starts: list[dict], length: int) -> list[tuple[int, int]]:
+    """First and last starts of strings, to the spans of bytes they cover."""
     out: list[tuple[int, int]] = []
     for a, b in sorted((s["a"], s["b"] + length) for s in starts):
         if out and a <= out[-1][1]:
@@ -260,21 +290,21 @@ def merged(starts: list[dict], length: int) -> list[tuple[int, int]]:
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), removed array<struct<start, end>>."""
     docs = columns_of(docs)
-    starts = removed_spans(docs, length, each, hot)
-    side = small_or_shuffled(starts, starts.agg(F.sum(F.size("starts"))).first()[0] or 0)
+    spans = removed_spans(docs, length, each, hot)
+    side = small_or_shuffled(spans, spans.agg(F.sum(F.size("spans"))).first()[0] or 0, LISTED)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
             rows = []
-            for text, own in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                data, spans = _bytes(text), merged(own or [], length)
+            for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                data, spans = _bytes(text), [(s["a"], s["b"]) for s in own or ()]
                 ends = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 rows.append((len(data), len(data) - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.record_batch([part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
-    joined = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(side, "id", "left").select("doc_id", "text", "starts")
+    joined = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(side, "id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start int, end int>>")
 
 
