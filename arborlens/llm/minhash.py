@@ -2,13 +2,15 @@
 
 1. A document's set is the hashes of its distinct word shingles; documents of equal sets are one class.
 2. Classes get ``BANDS * ROWS`` MinHash values; classes that agree in a whole band meet in its bucket.
-3. Candidates are a bucket's classes with its smallest one and, in buckets of up to ``SMALL``, each other.
+3. Candidates are the pairs of buckets of up to ``SMALL`` classes; in larger ones, each class with the one that
+   has the least of its own, that is the fewest shingles that no other class of large buckets has.
 4. A candidate's signatures are compared batch by batch; it goes once the posterior probability that its
    similarity reaches the threshold (uniform prior) falls below ``MISS``.
 5. What survives is confirmed on the full sets. Links give components.
-6. Larger buckets that still hold several components are taken up again: classes outside the bucket's
-   largest component are compared with all of the bucket, some in each round, until none is left. So no
-   bucket's pairs are ever made in full, and every pair of different components has been compared.
+6. Larger buckets that still hold several components are taken up again: classes outside a bucket's largest
+   component meet those of its classes, in other components, that they can be linked to by their sizes and
+   by how many shingles each shares with any other class. Shingles of its own bound a class's similarity
+   from above, so no link is lost, and a large bucket's pairs are not made in full.
 
 A pair with similarity s shares no band with probability (1 - s**ROWS)**BANDS: 7e-9 at 0.85.
 
@@ -30,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, components, drop_table, small_or_shuffled, write_table
+from .common import batches, columns_of, components, small_or_shuffled, write_table
 
-BANDS, ROWS, STEP, MISS, SMALL, PIVOTS = 32, 5, 32, 1e-6, 16, 16
+BANDS, ROWS, STEP, MISS, SMALL = 32, 5, 32, 1e-6, 16
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -121,6 +123,40 @@ def _bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(key.ravel().view(np.int64)), cls], ["bucket", "cls"])
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cls, own (the sorted hashes as bytes) of some classes, from the text of the first document of each."""
+    ends = write_table(wanted.join(classes.select("cls", "first_id"), "cls"), "ends")
+    ids = small_or_shuffled(ends.select("first_id").distinct(), ends.count())
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in batches(parts):
+            own = [s.tobytes() for s in (shingle_set(t, words, known) for t in part.column("text").to_pylist())]
+            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], ["cls", "own"])
+
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
+    return write_table(texts.mapInArrow(sets, "cls binary, own binary"), "sets").dropDuplicates(["cls"])
+
+
+def shared_counts(full: DataFrame) -> DataFrame:
+    """cls, n, s: how many shingles a class has, and how many of them another class of ``full`` has too."""
+
+    def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts, 256):
+            own = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
+            key = np.array([int.from_bytes(c[:8], "little", signed=True) for c in part.column("cls").to_pylist()], np.int64)
+            if own:
+                yield pa.record_batch([pa.array(np.concatenate(own)), pa.array(np.repeat(key, [len(x) for x in own]))], ["g", "key"])
+
+    def key(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts):
+            cls = part.column("cls").to_pylist()
+            yield pa.record_batch([part.column("cls"), pa.array([int.from_bytes(c[:8], "little", signed=True) for c in cls], pa.int64()), pa.array([len(x) // 8 for x in part.column("own").to_pylist()], pa.int64())], ["cls", "key", "n"])
+
+    alone = full.mapInArrow(spell, "g long, key long").groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("key")).filter("k = 1").groupBy("key").agg(F.count(F.lit(1)).alias("u"))
+    return write_table(full.mapInArrow(key, "cls binary, key long, n long").join(alone, "key", "left").select("cls", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")), "shared")
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) -> links (a, b): 100 * common >= percent * all."""
     least = needed(percent / 100)
@@ -140,17 +176,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     sigs = classes.select("cls", "sig")
     with_sigs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
     survivors = write_table(with_sigs.mapInArrow(prune, "a binary, b binary"), "survivors")
-    ends = write_table(survivors.select(F.col("a").alias("cls")).unionByName(survivors.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "first_id"), "cls"), "ends")
-    wanted = small_or_shuffled(ends.select("first_id").distinct(), ends.count())
-
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in batches(parts):
-            own = [s.tobytes() for s in (shingle_set(t, words, known) for t in part.column("text").to_pylist())]
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], ["cls", "own"])
-
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"]), "left_semi")
-    full = write_table(texts.mapInArrow(sets, "cls binary, own binary"), "sets").dropDuplicates(["cls"])
+    ends = survivors.select(F.col("a").alias("cls")).unionByName(survivors.select(F.col("b").alias("cls"))).distinct()
+    full = full_sets(docs, classes, ends, words)
 
     def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 256):
@@ -169,45 +196,48 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, class_links (confirmed links of its class)."""
     docs = columns_of(docs)
     rows = write_table(sets_of(docs, words), "minhash")
     ids = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
     classes = write_table(rows.filter("cls is not null").join(ids.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "first_id", "sig").dropDuplicates(["cls"]), "classes")
     bands = classes.select("sig", "cls").mapInArrow(_bands, "bucket long, cls binary")
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("least")).filter("n > 1")
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = write_table(bands.join(buckets, "bucket"), "members")
 
-    stars = members.select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    few = members.filter((F.col("n") > 2) & (F.col("n") <= small)).select("bucket", "cls")
+    few = members.filter(F.col("n") <= small).select("bucket", "cls")
     pairs = few.select("bucket", F.col("cls").alias("a")).join(few.select("bucket", F.col("cls").alias("b")), "bucket").filter("a < b").select("a", "b")
-    links = _confirm(write_table(_ordered(stars.unionByName(pairs)), "pairs"), classes, docs, words, percent)
-    labels = write_table(components(links), "labels")
-
-    large = members.filter(F.col("n") > small).select("bucket", "cls", "n")
-    done = None
-    while True:
-        now = large.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        parts = now.join(open_, "bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("all")).select("bucket", F.col("main.label").alias("main"), (F.col("all") - F.col("main.k")).alias("others"))
-        rest = now.join(main, "bucket").filter("label <> main")
-        if done is not None:
-            rest = rest.join(done, ["bucket", "cls"], "left_anti")
-        # about so many of a bucket's classes in this round, by a hash; all of them where they are few
-        rest = write_table(rest.withColumn("draw", F.pmod(F.xxhash64("cls"), F.greatest(F.floor(F.col("others") / pivots), F.lit(1)))).select("bucket", "cls", "label", "draw"), "rest")
-        if rest.isEmpty():
-            break
-        low = rest.groupBy("bucket").agg(F.min("draw").alias("low"))
-        chosen = write_table(rest.join(low, "bucket").filter("draw = low").select("bucket", F.col("cls").alias("a"), F.col("label").alias("la")), "chosen")
-        met = chosen.join(now.select("bucket", F.col("cls").alias("b"), "label"), "bucket").filter("la <> label").select("a", "b")
+    large = write_table(members.filter(F.col("n") > small).select("bucket", "cls"), "large")
+    if large.isEmpty():
+        links = _confirm(write_table(_ordered(pairs), "pairs"), classes, docs, words, percent)
+        labels = write_table(components(links), "labels")
+    else:
+        # large buckets: first with the class that has the fewest shingles of its own, which their members derive from if from any
+        counts = shared_counts(full_sets(docs, classes, large.select("cls").distinct(), words))
+        held = write_table(large.join(counts, "cls"), "held")
+        centres = held.groupBy("bucket").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "cls")).alias("c")).select("bucket", F.col("c.cls").alias("a"))
+        stars = held.select("bucket", F.col("cls").alias("b")).join(centres, "bucket").select("a", "b")
+        links = _confirm(write_table(_ordered(stars.unionByName(pairs)), "pairs"), classes, docs, words, percent)
+        labels = write_table(components(links), "labels")
+        # then what lies outside a bucket's largest component with all that it can be linked to. Two classes
+        # have at most o = min(s, s') shingles in common, so similarity is at most o / (n + n' - o)
+        now = write_table(held.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "now")
+        main = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
+        ends = now.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("s").alias("top"))
+        rest = now.join(main, "bucket").filter("label <> main").join(ends, "bucket")
+        o = F.least("s", "top")
+        t = percent / 100
+        # sizes that a partner may have, with room for rounding; what is left is tested exactly below
+        low = F.greatest(F.col("lo"), F.ceil(F.col("n") * t - 1e-6)).cast("long")
+        high = F.least(F.col("hi"), F.floor(F.col("n") / t + 1e-6), F.floor(o / t - F.col("n") + o + 1e-6)).cast("long")
+        asked = rest.withColumn("low", low).withColumn("high", high).filter("low <= high").select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("s").alias("sa"), F.explode(F.sequence("low", "high")).alias("n"))
+        both = asked.join(now.select("bucket", "n", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("s").alias("sb")), ["bucket", "n"])
+        common = F.least("sa", "sb")
+        met = both.filter((F.col("la") != F.col("lb")) & (100 * common >= percent * (F.col("na") + F.col("n") - common))).select("a", "b")
         more = _confirm(write_table(_ordered(met), "pairs"), classes, docs, words, percent)
         links = write_table(links.unionByName(more).distinct(), "links")
         labels = write_table(components(links), "labels")
-        tried = chosen.select("bucket", F.col("a").alias("cls"))
-        done = write_table(tried if done is None else done.unionByName(tried), "tried")
-        drop_table(rest)
 
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("class_links"))
     named = classes.select("cls", "first_id").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
