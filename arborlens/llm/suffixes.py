@@ -32,26 +32,29 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, drop_table, release, small_or_shuffled, write_table
 
-LENGTH, GRAM, EACH, HOT = 100, 24, 4000, 2000
-#: Rows of two dozen bytes that a join may carry to every executor.
-LISTED = 1_000_000
+LENGTH, GRAM, EACH, HOT = 100, 24, 1500, 2000
+#: Rows that a join may carry to every executor: of one long, of two dozen bytes (some 60 MB each).
+LISTED_LONGS, LISTED = 3_000_000, 2_000_000
 #: Longer documents are looked at in blocks; a place in one takes the low 24 bits.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each ``gram`` bytes."""
-    n = len(data) - gram + 1
-    out = np.zeros(n, np.uint64)
-    for k, p in enumerate(_powers(gram)):
-        out += data[k : k + n] * p
+    """A hash of each ``gram`` bytes: a polynomial, put together from halves."""
+    out, done, part, size, power = None, 0, data, 1, _BASE
+    with np.errstate(over="ignore"):
+        while True:
+            if gram & size:
+                n = len(data) - gram + 1
+                own = part[done : done + n]
+                out = own.copy() if out is None else out * power + own
+                done += size
+            size *= 2
+            if size > gram:
+                break
+            part = part[: -size // 2] * power + part[size // 2 :]
+            power = power * power
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
@@ -82,26 +85,49 @@ def _anchors(data: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray
     return h[place[first]], first + base, last + base
 
 
-class Files:
-    """The collection's arrays as files, each written anew in a sequential pass."""
+class Records:
+    """The collection's records in a file, written anew in one sequential pass a round.
 
-    KINDS = {"transform": np.uint16, "common": np.uint8, "owner": np.int32, "size": np.uint8}
+    A record is a suffix: its string (32 bits), its length, the bytes it shares with the one before, and the
+    symbol that stands before it (16 bits; the transform).
+    """
 
     def __init__(self, folder: str):
         self.folder, self.turn = folder, 0
 
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, f"{name}.{self.turn}"), self.KINDS[name])
+    def _path(self, turn: int) -> str:
+        return os.path.join(self.folder, f"records.{turn}")
 
-    def write(self, **arrays: np.ndarray) -> None:
-        for name, a in arrays.items():
-            a.astype(self.KINDS[name], copy=False).tofile(os.path.join(self.folder, f"{name}.{self.turn + 1}"))
-        for name in arrays:
-            if self.turn:
-                os.remove(os.path.join(self.folder, f"{name}.{self.turn}"))
+    def read(self) -> np.ndarray:
+        return np.fromfile(self._path(self.turn), np.uint64)
+
+    def write(self, records: np.ndarray) -> None:
+        records.tofile(self._path(self.turn + 1))
+        if self.turn:
+            os.remove(self._path(self.turn))
         self.turn += 1
 
 
+_OWNER, _SIZE, _COMMON, _LOW, _BYTE = np.uint64(32), np.uint64(24), np.uint64(16), np.uint64(0xFFFF), np.uint64(0xFF)
+
+
+def _ranks(transform: np.ndarray, place: np.ndarray, base: np.ndarray, kinds: int) -> np.ndarray:
+    """For places in the transform, how many symbols (0 aside) sort before the one there: all smaller ones, and
+    equal ones further up. Counted by blocks of 512."""
+    n = len(transform)
+    blocks = -(-n // 512)
+    each = np.bincount(base[:n] + transform, minlength=blocks * kinds).reshape(blocks, kinds)
+    upto = np.cumsum(each, axis=0)
+    totals = upto[-1].copy()
+    totals[0] = 0
+    smaller = np.cumsum(totals) - totals
+    padded = np.zeros(blocks * 512, transform.dtype)
+    padded[:n] = transform
+    own, block = transform[place], place >> 9
+    within = (padded.reshape(blocks, 512)[block] == own[:, None]) & (np.arange(512) < (place & 511)[:, None])
+    return smaller[own] + upto[block, own] - each[block, own] + within.sum(axis=1)
+
+
 def sort_columns(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of a collection in order: (owner, length, common prefix with the one before, up to ``cap``).
 
@@ -116,45 +142,52 @@ def sort_columns(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarra
     flat = text.ravel()
     windows = np.lib.stride_tricks.sliding_window_view(flat, cap)
     row = np.arange(n, dtype=np.int64) * (wide + cap) + wide
+    used = np.bincount(np.frombuffer(b"".join(strings), np.uint8), minlength=256) > 0
+    number = np.cumsum(used)  # symbols from 1 on, in the order of bytes
+    kinds = int(number[-1]) + 1
+    small = np.uint8 if kinds <= 256 else np.uint16
+    base = (np.arange(int(sizes.sum()) + n, dtype=np.int64) >> 9) * kinds
 
     def shared(i: np.ndarray, li: np.ndarray, j: np.ndarray, lj: np.ndarray) -> np.ndarray:
         differ = windows[row[i] - li] != windows[row[j] - lj]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), cap)
-        return np.minimum(first, np.minimum(li, lj)).astype(np.uint8)
+        first = differ.argmax(axis=1)
+        first[~differ[np.arange(len(first)), first]] = cap
+        return np.minimum(first, np.minimum(li, lj))
 
-    def symbol(i: np.ndarray, li: np.ndarray) -> np.ndarray:
+    def symbol(i: np.ndarray, size: int) -> np.ndarray:
         """What stands before a suffix: 0 at its string's start."""
-        return np.where(li < sizes[i], flat[row[i] - li - 1].astype(np.uint16) + 1, 0)
+        return np.where(size < sizes[i], number[flat[row[i] - size - 1]], 0).astype(np.uint64)
+
+    def owner_and_size(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (r >> _OWNER).astype(np.int64), ((r >> _SIZE) & _BYTE).astype(np.int64)
 
-    files = Files(folder)
     everyone = np.arange(n)
-    files.write(transform=symbol(everyone, np.zeros(n, np.int64)), common=np.zeros(n), owner=everyone, size=np.zeros(n))
+    files = Records(folder)
+    files.write(everyone.astype(np.uint64) << _OWNER | symbol(everyone, 0))
     place = everyone.copy()  # where each string's latest suffix stands
     for j in range(1, wide + 1):
-        transform = files.read("transform")
-        order = np.argsort(transform, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        records = files.read()
+        transform = (records & _LOW).astype(small)
         going = np.flatnonzero(sizes >= j)
-        # a suffix's place: after all the empty ones, and as many as its symbol's rank in the transform
-        new = rank[place[going]] - int((transform == 0).sum()) + n
+        # a suffix's place: after the empty ones and all that begin with less, in the order of what it goes on with
+        new = n + _ranks(transform, place[going], base, kinds)
         by_place = np.argsort(new)
         going, new = going[by_place], new[by_place]
-        total = len(transform) + len(going)
+        total = len(records) + len(going)
         old = np.ones(total, bool)
         old[new] = False
-        owner, size, common = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8)
-        out = np.empty(total, np.uint16)
-        owner[old], size[old], common[old], out[old] = files.read("owner"), files.read("size"), files.read("common"), transform
-        owner[new], size[new] = going, j
-        out[new] = symbol(going, np.full(len(going), j))
+        out = np.empty(total, np.uint64)
+        out[old] = records
+        out[new] = going.astype(np.uint64) << _OWNER | np.uint64(j) << _SIZE | symbol(going, j)
         after = new[new + 1 < total] + 1
-        for at in (new, after[old[after]]):
-            i, k = owner[at - 1], owner[at]
-            common[at] = shared(i, size[at - 1].astype(np.int64), k, size[at].astype(np.int64))
-        files.write(transform=out, common=common, owner=owner, size=size)
+        at = np.concatenate([new, after[old[after]]])
+        common = shared(*owner_and_size(out[at - 1]), *owner_and_size(out[at])).astype(np.uint64)
+        out[at] = (out[at] & ~(_BYTE << _COMMON)) | common << _COMMON
+        files.write(out)
         place[going] = new
-    return files.read("owner").astype(np.int64), files.read("size").astype(np.int64), files.read("common")
+    records = files.read()
+    owner, size = owner_and_size(records)
+    return owner, size, ((records >> _COMMON) & _BYTE).astype(np.int64)
 
 
 def repeated_starts(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int) -> list[list[int]]:
@@ -214,7 +247,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
     found = write_table(docs.mapInArrow(find, "h long, d long, id long, a int, b int"), "anchors")
     repeated = write_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
     release(spark)
-    runs = write_table(found.join(small_or_shuffled(repeated, repeated.count(), LISTED), "h"), "runs")
+    runs = write_table(found.join(small_or_shuffled(repeated, repeated.count(), LISTED_LONGS), "h"), "runs")
     drop_table(found)
     release(spark)
     different = write_table(runs.groupBy("h", "d").agg(F.min(F.struct("id", "a", "b")).alias("first")), "different")
@@ -260,13 +293,16 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
     first = different.select("h", "d", F.col("first.id").alias("i"), F.col("first.a").alias("p"))
     marked = runs.join(first, ["h", "d"])
     is_first = (F.col("id") == F.col("i")) & (F.col("a") == F.col("p"))
-    whole = marked.filter(~is_first).select("id", F.struct("a", "b").alias("s"))
-    some = later.join(different, ["h", "d"]).select(F.col("first.id").alias("id"), F.explode(F.transform("later", lambda o: F.struct((F.col("first.a") + o).alias("a"), (F.col("first.a") + o).alias("b")))).alias("s"))
-    starts = whole.unionByName(some).groupBy("id").agg(F.collect_set("s").alias("starts"))
+    packed = lambda a, more: a.cast("long") * 256 + more  # noqa: E731  first start, and how many more follow it
+    whole = marked.filter(~is_first).select("id", packed(F.col("a"), F.col("b") - F.col("a")).alias("s"))
+    some = later.join(different, ["h", "d"]).select(F.col("first.id").alias("id"), F.explode("later").alias("o"), F.col("first.a").alias("a")).select("id", packed(F.col("a") + F.col("o"), F.lit(0)).alias("s"))
+    starts = whole.unionByName(some).groupBy("id").agg(F.collect_list("s").alias("starts"))
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
-            spans = [[{"a": a, "b": b} for a, b in merged(s, length)] for s in part.column("starts").to_pylist()]
+            starts = part.column("starts")
+            values, ends = starts.values.to_numpy(), starts.offsets.to_numpy()
+            spans = [[{"a": a, "b": b} for a, b in merged(values[x:y], length)] for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([part.column("id"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "spans"])
 
     out = write_table(starts.mapInArrow(merge, "id long, spans array<struct<a int, b int>>"), "spans")
@@ -276,15 +312,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
     return out
 
 
-def merged(starts: list[dict], length: int) -> list[tuple[int, int]]:
-    """First and last starts of strings, to the spans of bytes they cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"] + length) for s in starts):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Packed starts of strings (256 * first + how many more), to the spans of bytes they cover."""
+    starts = np.unique(starts)
+    first = starts >> 8
+    end = np.maximum.accumulate(first + (starts & 255) + length)
+    head = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return list(zip(first[head].tolist(), end[np.concatenate([head[1:] - 1, [len(end) - 1]])].tolist(), strict=True))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: int = HOT) -> DataFrame:
