@@ -244,7 +244,8 @@ class Codec:
 
     def split(self, texts: pa.Array) -> pa.ListArray:
         """The chunks of texts as numbers of a dictionary of them; chunks may be empty."""
-        if not any("<|" in t or _ODD.search(t) for t in texts.to_pylist()):
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _ODD.pattern))
+        if not pc.any(odd).as_py():
             lists = pc.utf8_split_whitespace(texts)  # cuts where str.split does
         else:
             lists = pa.array([self.chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
