@@ -82,7 +82,7 @@ def strip_top_folder(paths: DataFrame, share: float = 0.8, reference_quirk: bool
     if reference_quirk:
         best = paths.agg(F.min(F.struct("path")).alias("f")).select(F.when(F.col("f.path").contains("/"), F.get(F.split("f.path", "/"), 0)).alias("folder"))
     else:
-        counts = paths.filter(deep).groupBy(top.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+        counts = paths.groupBy(top.alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.max(deep).alias("deep")).filter("deep")
         best = counts.agg(F.max(F.struct("n", "folder")).alias("m")).crossJoin(paths.agg(F.count(F.lit(1)).alias("all"))).select(F.when(F.col("m.n") > F.col("all") * share, F.col("m.folder")).alias("folder"))
     out = paths.crossJoin(F.broadcast(best))  # one row
     start = F.concat(F.col("folder"), F.lit("/"))
