@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, components, small_or_shuffled, write_table
 
-BANDS, ROWS, STEP, MISS, SMALL = 32, 5, 32, 1e-6, 16
+BANDS, ROWS, STEP, MISS, SMALL, GROUPS = 32, 5, 32, 1e-6, 16, 16
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -139,7 +139,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
 
 
 def shared_counts(full: DataFrame) -> DataFrame:
-    """cls, n, s: how many shingles a class has, and how many of them another class of ``full`` has too."""
+    """cls, n, s, s0..s15: how many shingles a class has, how many of them another class of ``full`` has too, and
+    these by a part of their hash."""
 
     def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 256):
@@ -151,10 +152,15 @@ def shared_counts(full: DataFrame) -> DataFrame:
     def key(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
             cls = part.column("cls").to_pylist()
-            yield pa.record_batch([part.column("cls"), pa.array([int.from_bytes(c[:8], "little", signed=True) for c in cls], pa.int64()), pa.array([len(x) // 8 for x in part.column("own").to_pylist()], pa.int64())], ["cls", "key", "n"])
+            each = np.array([np.bincount((np.frombuffer(x, np.int64) % GROUPS), minlength=GROUPS) for x in part.column("own").to_pylist()], np.int64).reshape(-1, GROUPS)
+            yield pa.record_batch([part.column("cls"), pa.array([int.from_bytes(c[:8], "little", signed=True) for c in cls], pa.int64()), *(pa.array(each[:, k].copy()) for k in range(GROUPS))], ["cls", "key", *(f"n{k}" for k in range(GROUPS))])
 
-    alone = full.mapInArrow(spell, "g long, key long").groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("key")).filter("k = 1").groupBy("key").agg(F.count(F.lit(1)).alias("u"))
-    return write_table(full.mapInArrow(key, "cls binary, key long, n long").join(alone, "key", "left").select("cls", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")), "shared")
+    one = full.mapInArrow(spell, "g long, key long").groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("key")).filter("k = 1")
+    alone = one.groupBy("key").agg(*[F.count_if(F.pmod("g", F.lit(GROUPS)) == k).alias(f"u{k}") for k in range(GROUPS)])
+    counted = full.mapInArrow(key, f"cls binary, key long, {', '.join(f'n{k} long' for k in range(GROUPS))}").join(alone, "key", "left")
+    total = lambda f: sum((f(k) for k in range(1, GROUPS)), f(0))
+    shared = lambda k: F.col(f"n{k}") - F.coalesce(f"u{k}", F.lit(0))
+    return write_table(counted.select("cls", total(lambda k: F.col(f"n{k}")).alias("n"), total(shared).alias("s"), *[shared(k).alias(f"s{k}") for k in range(GROUPS)]), "shared")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -221,7 +227,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
         links = _confirm(write_table(_ordered(stars.unionByName(pairs)), "pairs"), classes, docs, words, percent)
         labels = write_table(components(links), "labels")
         # then what lies outside a bucket's largest component with all that it can be linked to. Two classes
-        # have at most o = min(s, s') shingles in common, so similarity is at most o / (n + n' - o)
+        # have at most o = min(s, s') shingles in common, at most the sum of such minima over parts of the hash,
+        # and similarity is at most o / (n + n' - o)
         now = write_table(held.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "now")
         main = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
         ends = now.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("s").alias("top"))
@@ -231,10 +238,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
         # sizes that a partner may have, with room for rounding; what is left is tested exactly below
         low = F.greatest(F.col("lo"), F.ceil(F.col("n") * t - 1e-6)).cast("long")
         high = F.least(F.col("hi"), F.floor(F.col("n") / t + 1e-6), F.floor(o / t - F.col("n") + o + 1e-6)).cast("long")
-        asked = rest.withColumn("low", low).withColumn("high", high).filter("low <= high").select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("s").alias("sa"), F.explode(F.sequence("low", "high")).alias("n"))
-        both = asked.join(now.select("bucket", "n", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("s").alias("sb")), ["bucket", "n"])
-        common = F.least("sa", "sb")
-        met = both.filter((F.col("la") != F.col("lb")) & (100 * common >= percent * (F.col("na") + F.col("n") - common))).select("a", "b")
+        asked = rest.withColumn("low", low).withColumn("high", high).filter("low <= high").select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), *[F.col(f"s{k}").alias(f"a{k}") for k in range(GROUPS)], F.explode(F.sequence("low", "high")).alias("n"))
+        others = now.select(F.col("bucket").alias("bucket_b"), F.col("n").alias("nb"), F.col("cls").alias("b"), F.col("label").alias("lb"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(GROUPS)])
+        common = sum((F.least(f"a{k}", f"b{k}") for k in range(1, GROUPS)), F.least("a0", "b0"))
+        possible = (F.col("la") != F.col("lb")) & (100 * common >= percent * (F.col("na") + F.col("nb") - common))
+        met = asked.join(others, (F.col("bucket") == F.col("bucket_b")) & (F.col("n") == F.col("nb")) & possible).select("a", "b")
         more = _confirm(write_table(_ordered(met), "pairs"), classes, docs, words, percent)
         links = write_table(links.unionByName(more).distinct(), "links")
         labels = write_table(components(links), "labels")
