@@ -106,3 +106,18 @@ def test_streams(spark, tmp_path):
     assert [(r.usageCount, r.averageExecutionTime) for r in out] == [(2, 20.0)]
     points = spark.createDataFrame([("cpu", 90.0), ("cpu", 10.0)], "name string, value double")
     assert [r.threshold for r in streams.alerts(points, [("cpu", "gt", 80.0), ("mem", "gt", 1.0)]).collect()] == [80.0]
+
+
+def test_repository_source(spark, tmp_path):
+    from arborlens.sources.remote import RepositorySource
+
+    (tmp_path / "r" / "s").mkdir(parents=True)
+    for k in range(5):
+        (tmp_path / "r" / "s" / f"{k}.py").write_text(f"x = {k}")
+    os_gone = tmp_path / "r" / "gone.py"
+    os_gone.symlink_to(tmp_path / "nowhere")
+    spark.dataSource.register(RepositorySource)
+    df = spark.read.format("repository").option("root", str(tmp_path / "r")).option("batch", "2").load()
+    assert df.rdd.getNumPartitions() == 3
+    assert [r.path for r in df.filter("error IS NULL").orderBy("path").collect()] == [f"s/{k}.py" for k in range(5)]
+    assert df.filter("error IS NOT NULL").count() == 1
