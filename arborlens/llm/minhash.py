@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, components, small_or_shuffled, write_table
 
-BANDS, ROWS, STEP, MISS, SMALL, GROUPS = 32, 5, 32, 1e-6, 16, 16
+BANDS, ROWS, STEP, MISS, SMALL, GROUPS = 32, 5, 32, 1e-6, 16, 32
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
 
 
 def shared_counts(full: DataFrame) -> DataFrame:
-    """cls, n, s, s0..s15: how many shingles a class has, how many of them another class of ``full`` has too, and
+    """cls, n, s, s0, s1, ...: how many shingles a class has, how many of them another class of ``full`` has too, and
     these by a part of their hash."""
 
     def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
