@@ -32,7 +32,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks that each of a worker's two generations remembers.
-CACHE = 500_000
+CACHE = 350_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

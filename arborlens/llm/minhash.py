@@ -40,7 +40,7 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 #: Words remembered in a worker.
-CACHE = 500_000
+CACHE = 50_000
 
 
 class WordHashes(dict):

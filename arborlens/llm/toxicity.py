@@ -29,8 +29,8 @@ from .common import batches, carried, columns_of
 BUCKETS, DIM, GRAMS, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 6000, 8, 7
 MIN_DOCS, DECAY, RATE = 5, 1e-4, 10.0
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words remembered in a worker.
-CACHE = 500_000
+#: Words that each of a worker's two generations remembers.
+CACHE = 100_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -97,15 +97,18 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
         self.known: dict[str, tuple[float, int]] = {}
+        self.old: dict[str, tuple[float, int]] = {}
 
     def __call__(self, text: str | None) -> float:
-        known, total, n = self.known, 0.0, 0
-        if len(known) > CACHE:
-            known.clear()
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        known, old, total, n = self.known, self.old, 0.0, 0
         for w in words_of(text):
             if (f := known.get(w)) is None:
-                at = features(w)
-                f = known[w] = (float(self.weights[at].sum()), len(at))
+                if (f := old.get(w)) is None:
+                    at = features(w)
+                    f = (float(self.weights[at].sum()), len(at))
+                known[w] = f
             total += f[0]
             n += f[1]
         return self.bias + (total / n**0.5 if n else 0.0)
