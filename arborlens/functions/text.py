@@ -76,6 +76,7 @@ def query_shape(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+#: The descriptions of query patterns are those that a caller compares with.
 def pattern_description(x: Column) -> Column:
     asks = x.contains("MATCH") & x.contains("RETURN")
     return (
