@@ -25,9 +25,10 @@ def columns_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all columns of the input in one struct ``rest``, where no name can clash."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+def carried(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, text, and the columns of the input in one struct ``rest``, where no name can clash; the text itself
+    is among them only on request."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text" or with_text]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("rest"))
 
 

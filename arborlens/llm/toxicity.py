@@ -152,5 +152,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for part in batches(parts):
             yield part.filter(pa.array([scorer(t) < 0 for t in part.column("text").to_pylist()], pa.bool_()))
 
-    rows = carried(docs)
+    rows = carried(docs, with_text=True)
     return rows.mapInArrow(run, rows.schema).select("rest.*")
