@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,11 +82,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what one batch holds and gives stays bounded."""
+    """Smaller batches, so that what one batch holds and gives stays bounded; idle workers keep little."""
+    trim()
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+        del part
+    trim()
 
 
 def salt(by: Column, count: Column, each: int) -> Column:
