@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Words left out of token sets; words left out of questions.
 STOP = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them"]
 ASKING = ["what", "where", "when", "why", "how", "who", "which", "can", "could", "would", "should", "do", "does", "did", "is", "are", "was", "were"]
+#: Not next to an ASCII letter, digit or underscore. Java's own \b also looks at letters beyond ASCII.
+BEGIN, END = "(?<![a-zA-Z0-9_])", "(?![a-zA-Z0-9_])"
 
 
 def tokens(x: Column) -> Column:
@@ -105,7 +107,7 @@ def is_identifier(x: Column) -> Column:
 
 
 def identifiers(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"{BEGIN}[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0)))
 
 
 def word_count(x: Column) -> Column:

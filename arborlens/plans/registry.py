@@ -376,9 +376,9 @@ def t_question(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", T.question(F.col("text")).alias("question"))
 
 
-@query(rf"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'))) AS names FROM documents WHERE {ASCII} AND length(text) < 2000")
+@query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'))) AS names FROM documents")
 def t_identifiers(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).filter(F.length("text") < 2000).select("doc_id", F.array_sort(T.identifiers(F.col("text"))).alias("names"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(T.identifiers(F.col("text"))).alias("names"))
 
 
 @query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS links FROM pages")
