@@ -63,7 +63,7 @@ def blend(a: Column, b: Column) -> Column:
 def question(x: Column) -> Column:
     """A question without marks, question words and spare spaces."""
     x = F.regexp_replace(F.lower(x), "[?!.]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, rf"\b({'|'.join(ASKING)})\b", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, rf"{BEGIN}({'|'.join(ASKING)}){END}", ""), r"\s+", " "))
 
 
 def query_pattern(x: Column) -> Column:

@@ -350,30 +350,23 @@ def n_search_each_session(spark, sf_dir):
 
 
 # ---- text --------------------------------------------------------------------------------------------------
-ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
-
-
-def ascii_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-
-
 STOPS = ", ".join(f"'{w}'" for w in T.STOP)
 TOKENS = rf"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-zA-Z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND NOT list_contains([{STOPS}], w))"
 
 
-@query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n, CAST(len(list_distinct({TOKENS})) AS INTEGER) AS kinds FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n, CAST(len(list_distinct({TOKENS})) AS INTEGER) AS kinds FROM documents")
 def t_tokens(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("kinds"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("kinds"))
 
 
-@query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE {ASCII}")
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(length(text) AS INTEGER) AS chars FROM documents")
 def t_counts(spark, sf_dir):
-    return ascii_docs(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("words"), T.line_count(F.col("text")).alias("lines"), F.length("text").alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), T.line_count(F.col("text")).alias("lines"), F.length("text").alias("chars"))
 
 
-@query(rf"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[?!.]', '', 'g'), '\b({'|'.join(T.ASKING)})\b', '', 'g'), '\s+', ' ', 'g')) AS question FROM benchmark WHERE {ASCII}")
+@query(rf"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[?!.]', '', 'g'), '\b({'|'.join(T.ASKING)})\b', '', 'g'), '\s+', ' ', 'g')) AS question FROM benchmark")
 def t_question(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", T.question(F.col("text")).alias("question"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.question(F.col("text")).alias("question"))
 
 
 @query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'))) AS names FROM documents")
@@ -394,18 +387,25 @@ def t_paths(spark, sf_dir):
     return d.select("doc_id", "path", P.basename(c).alias("name"), P.extname(c).alias("ext"), P.parent(c).alias("parent"))
 
 
-@query("""SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(a.text, b.text) AS INTEGER) AS d, round(1 - levenshtein(a.text, b.text) / CAST(greatest(length(a.text), length(b.text)) AS DOUBLE), 6) AS s
-FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id WHERE regexp_full_match(a.text, '[\\x00-\\x7F]*') AND regexp_full_match(b.text, '[\\x00-\\x7F]*')""")
+# DuckDB's levenshtein counts bytes, so the table of distances is filled by diagonals k here, in code points: v[i + 1] is the distance of
+# the first i letters of x from the first k - i of y, u the diagonal before.
+@query("""WITH RECURSIVE c AS (SELECT item_id, text, list_transform(range(1, length(text) + 1), lambda i: unicode(substring(text, i, 1))) AS codes FROM benchmark),
+p AS (SELECT a.item_id AS a, b.item_id AS b, a.codes AS x, b.codes AS y, greatest(length(a.text), length(b.text)) AS longest FROM c a JOIN c b ON a.item_id + 1 = b.item_id),
+w AS (SELECT a, b, 0 AS k, list_transform(range(0, len(x) + 1), lambda i: 1000000) AS u, list_transform(range(0, len(x) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1000000 END) AS v FROM p
+UNION ALL SELECT w.a, w.b, w.k + 1, w.v, list_transform(range(0, len(x) + 1), lambda i: CASE WHEN i > w.k + 1 OR w.k + 1 - i > len(y) THEN 1000000
+ELSE least(w.v[i + 1] + 1, coalesce(w.v[i], 1000000) + 1, coalesce(w.u[i] + CASE WHEN x[i] = y[w.k + 1 - i] THEN 0 ELSE 1 END, 1000000)) END)
+FROM w JOIN p ON w.a = p.a AND w.b = p.b WHERE w.k < len(x) + len(y))
+SELECT p.a, p.b, CAST(v[len(x) + 1] AS INTEGER) AS d, CASE WHEN longest = 0 THEN 1 ELSE round(1 - v[len(x) + 1] / CAST(longest AS DOUBLE), 6) END AS s FROM p LEFT JOIN w ON w.a = p.a AND w.b = p.b AND w.k = len(x) + len(y)""")
 def t_levenshtein(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    b = table(spark, sf_dir, "benchmark")
     pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.expr("a + 1 = b"))
     return pairs.select("a", "b", F.levenshtein("x", "y").alias("d"), F.round(T.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("s"))
 
 
-@query(f"""WITH t AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark WHERE {ASCII})
+@query(f"""WITH t AS (SELECT item_id, list_distinct({TOKENS}) AS w FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS j FROM t a JOIN t b ON a.item_id + 1 = b.item_id""")
 def t_jaccard(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    b = table(spark, sf_dir, "benchmark")
     pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.expr("a + 1 = b"))
     return pairs.select("a", "b", F.round(T.token_jaccard(F.col("x"), F.col("y")), 6).alias("j"))
 

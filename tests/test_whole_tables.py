@@ -41,3 +41,27 @@ def same_as_sql(spark, small, name):
 def test_identifiers(spark, small):
     got = {r.doc_id: r.names for r in same_as_sql(spark, small, "t_identifiers")}
     assert got == {i: None if t is None else sorted(set(re.findall(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", t, re.ASCII))) for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize("name", ["t_tokens", "t_counts", "t_question", "t_levenshtein", "t_jaccard"])
+def test_all_letters(spark, small, name):
+    got = same_as_sql(spark, small, name)
+    assert len(got) == len(TEXTS) - (name in ("t_levenshtein", "t_jaccard"))
+
+
+def test_letters_by_brute_force(spark, small):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            last, row[0] = row[0], i + 1
+            for j, b in enumerate(y):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (a != b))
+        return row[-1]
+
+    items = TEXTS[:4] + TEXTS[5:] + TEXTS[:1]
+    assert {r.a: r.d for r in rows(spark, small, "t_levenshtein")} == {i: None if None in (x, y) else distance(x, y) for i, (x, y) in enumerate(zip(items, items[1:], strict=False))}
+    asked = {r.item_id: r.question for r in rows(spark, small, "t_question")}
+    assert asked[4] == "öß ünder_1 ñ" and asked[5] == "the état of dog cat"
+    counts = {r.doc_id: (r.words, r.chars) for r in rows(spark, small, "t_counts")}
+    assert all(counts[i] == (len(t.split()), len(t)) for i, t in enumerate(TEXTS) if t is not None)
+    assert {r.doc_id: (r.n, r.kinds) for r in rows(spark, small, "t_tokens")}[4] == (3001, 2)
