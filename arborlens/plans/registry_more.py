@@ -154,15 +154,15 @@ def n_suggestions(spark, sf_dir):
     return out.select(F.element_at(F.split("query", "#"), -1).cast("long").alias("c_custkey"), "kind", "severity", "message")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN n_chars || ' Bytes' ELSE regexp_replace(format('{:.2f}', round(n_chars / 1024.0, 2)), '\\.?0+$', '') || ' KB' END AS size FROM documents WHERE n_chars < 1048576 AND (n_chars >= 1024 OR n_chars % 10 <> 0)""")
+@query("""SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN n_chars || ' Bytes' ELSE regexp_replace(format('{:.2f}', round(n_chars / unit, 2)), '\\.?0+$', '') || name END AS size
+FROM (SELECT doc_id, n_chars, CASE WHEN n_chars >= 1073741824 THEN 1073741824.0 WHEN n_chars >= 1048576 THEN 1048576.0 ELSE 1024.0 END AS unit, CASE WHEN n_chars >= 1073741824 THEN ' GB' WHEN n_chars >= 1048576 THEN ' MB' ELSE ' KB' END AS name FROM documents)""")
 def t_human_size(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("n_chars < 1048576 AND (n_chars >= 1024 OR n_chars % 10 <> 0)")
-    return d.select("doc_id", T.human_size(F.col("n_chars")).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.human_size(F.col("n_chars")).alias("size"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(l, '[,"\\n]') THEN '"' || replace(l, '"', '""') || '"' ELSE l END AS field FROM (SELECT doc_id, list_extract(string_split(text, chr(10)), 1) AS l FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
 def t_csv_quote(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.csv_quote(F.get(F.split("text", "\n"), 0)).alias("field"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.csv_quote(F.col("text")).alias("field"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")

@@ -11,7 +11,7 @@ from arborlens.plans import registry_more  # noqa: F401  registers
 from arborlens.plans.registry import ORACLE, QUERIES
 
 TEXTS = ["ció a_1 Élan x9é 9ab naïve", "plain words, \"quoted\"\nand more lines\n", None, "", "word " * 3000 + "ñandú end", "öß Ünder_1 what do? ñdo do", "Where is the ÉTAT of dog cat"]
-SIZES = [0, 10, 100, 1000, 1023, 1048575, 5 * 1048576 + 77]
+SIZES = [0, 10, 100, 1000, 1048575, 5 * 1048576 + 77, 1610612736]
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,10 @@ def test_letters_by_brute_force(spark, small):
     counts = {r.doc_id: (r.words, r.chars) for r in rows(spark, small, "t_counts")}
     assert all(counts[i] == (len(t.split()), len(t)) for i, t in enumerate(TEXTS) if t is not None)
     assert {r.doc_id: (r.n, r.kinds) for r in rows(spark, small, "t_tokens")}[4] == (3001, 2)
+
+
+def test_sizes_and_fields(spark, small):
+    sizes = {r.doc_id: r.size for r in same_as_sql(spark, small, "t_human_size")}
+    assert sizes == dict(enumerate(["0 Bytes", "10 Bytes", "100 Bytes", "1000 Bytes", "1024 KB", "5 MB", "1.5 GB"]))
+    fields = {r.doc_id: r.field for r in same_as_sql(spark, small, "t_csv_quote")}
+    assert fields == {i: t if t is None or not set(t) & set(',"\n') else '"' + t.replace('"', '""') + '"' for i, t in enumerate(TEXTS)}
