@@ -192,6 +192,24 @@ def test_passages(spark, corpus):
     assert passages.passage_digest(table(spark, EDGE, True)).count() == len(EDGE) and passages.passage_digest(table(spark, [])).count() == 0
 
 
+def test_passages_of_short_lines_and_whole_length(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    verse = "\n".join(" ".join(word() for _ in range(r.randint(1, 5))) for _ in range(20))
+    passages_ = [" ".join(word() for _ in range(51)) for _ in range(30)]
+    rows = [(0, f"{word()}\n{verse}"), (1, f"{verse}\n{word()}")]
+    for k, p in enumerate(passages_):
+        rows += [(10 + 2 * k, f"{' '.join(word() for _ in range(20))} {p} {' '.join(word() for _ in range(20))}"), (11 + 2 * k, f"{' '.join(word() for _ in range(23))} {p} {' '.join(word() for _ in range(17))}")]
+    rows += [(200, "la " * 150 + word()), (201, f"{word()} " + "la " * 90 + word())]
+    got = {x.doc_id: x for x in passages.dedup_passages(table(spark, rows), extend=True).collect()}
+    assert not any(got[i].removed for i, _ in rows if i % 2 == 0 and i < 200)
+    assert got[1].text.split() == rows[1][1].split()[-1:]
+    for k in range(30):
+        text = rows[3 + 2 * k][1].split()
+        assert got[11 + 2 * k].text.split() == text[:23] + text[-17:]
+    assert got[201].text.split().count("la") <= 12 and got[200].text.split().count("la") <= 24
+
+
 @pytest.mark.parametrize("text", ["", "a", "x" * 576, "é" * 900])
 def test_media_round_trip(text):
     n, data = media.store(text)
