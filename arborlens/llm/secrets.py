@@ -75,7 +75,7 @@ def _h(*what) -> int:
 
 
 def file_traits(text: str) -> list[int]:
-    digits = len(DIGIT.findall(text)) if len(text) < 1 << 16 else text.count("0") * 10
+    digits = sum(map(text.count, "0123456789"))
     share = digits / max(1, len(text))
     return [_h("digits", min(5, int(share * 50))), _h("long", min(6, len(text).bit_length() // 3)), _h("hint", any(h in text.lower() for h in HINTS))]
 

@@ -331,6 +331,12 @@ def test_secret_patterns():
     assert [[text[a:b] for a, b in run] for run in secrets.runs(text)] == [["a1", "b2", "c3"], ["d4"]]
 
 
+def test_digits_of_long_texts():
+    share = lambda text: secrets.file_traits(text)[0]
+    for t in ("word 17 ", "0000 word", "12345 6789 "):
+        assert share(t * 7000) == share(t * 9000) == share(t * 20000)
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
