@@ -8,10 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A null id, where ids are compared: last.
+NULL_ID = (1 << 63) - 1
 #: What words are made of, for every operator that counts words: no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,12 +95,26 @@ def trim() -> None:
         give_back(0)
 
 
+#: Bytes of texts that a batch holds at most, but for a single longer text.
+BYTES = 16 << 20
+
+
 def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what one batch holds and gives stays bounded; idle workers keep little."""
+    """Smaller batches, of so many rows and ``BYTES`` bytes of strings, so that what one batch holds and gives stays
+    bounded; idle workers keep little."""
     trim()
     for part in parts:
-        for at in range(0, part.num_rows, rows):
-            yield part.slice(at, rows)
+        ends = np.zeros(part.num_rows, np.int64)
+        for column in part.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ends)
+        at = 0
+        while at < part.num_rows:
+            held = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, held + BYTES, "right"))))
+            yield part.slice(at, to - at)
+            at = to
         del part
     trim()
 

@@ -1,28 +1,25 @@
-"""Substring dedup by hashing units: lines, and passages within lines.
-
-A line is cut into units at words whose hash is the least of the ``REACH`` words on either side, so equal
-passages are cut alike wherever they stand; shorter lines are one unit, whatever their length. Where equal
-least hashes follow each other so closely that over ``LONGEST`` words would have no cut, as in periodic text,
-the stretch is cut at them too. A unit's digest is taken of its words, lower-cased and parted by one space.
-Of units with equal digests the earliest (doc_id, then place) stays and the rest go; offsets of what goes, in
-code points of the text, are kept.
-
-With ``extend``, what goes also grows on either side, within its line, over the words it shares with the
-surroundings of the unit that stays. Cuts further than ``REACH`` words inside a shared passage are the same
-in both places, so it ends within the next unit and ``REACH`` words. Each word that goes is matched with an
-earlier one, so one stays. Documents without an id, and those whose id has several texts, are not extended.
-
-Null and empty texts have no units. Rows that repeat an
-id and a place are the same occurrence and stay together; null ids come last. Texts are read whole. An empty
+"""Substring dedup by hashing units: paragraphs of consecutive lines and sentences.
+
+A text is cut at line ends and after sentence marks; a stretch of over ``LONG`` words without either is also cut
+before the words whose hash is a multiple of ``EVERY``, which are the same wherever the stretch stands. At each cut
+begins a unit: the pieces from there on, across line ends, until they have ``MIN_WORDS`` words or more. So units
+overlap, and a passage that stands elsewhere in other surroundings holds the same units. A unit's digest is taken of
+its words, lower-cased and parted by one space. Of units with equal digests the earliest (doc_id, then place) stays
+and the rest go; the offsets of what goes, in code points of the text, are kept.
+
+What is shorter than ``MIN_WORDS`` words, such as a line that many documents share, is never a unit of its own:
+chance repeats stay. The cut pieces at a passage's two ends, of which only a part repeats, stay too.
+
+Null and empty texts, and those under ``MIN_WORDS`` words, have no units. Rows that repeat an id and a place are the
+same occurrence and stay together; null ids count as one document that comes last. Texts are read whole. An empty
 table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,89 +27,81 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, small_or_shuffled, write_table
-
-REACH, MIN_WORDS, LONGEST = 6, 1, 48
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _cuts(words: list[bytes], reach: int) -> list[int]:
-    """Where the units of a line begin."""
-    cuts = [0]
-    if len(words) > 2 * reach + 1:
-        h = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words))
-        low = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1).min(axis=1)
-        inner = h[reach : len(h) - reach]
-        # the least of its window, the last of equals
-        at_least = np.flatnonzero(inner == low) + reach
-        cuts += [int(c) for c in at_least if not (h[c + 1 : c + reach + 1] == h[c]).any()]
-        bounds = [*cuts, len(words)]
-        if max(b - a for a, b in zip(bounds, bounds[1:], strict=False)) > LONGEST:
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a > LONGEST:
-                    for c in at_least[(at_least > a + reach) & (at_least < b - reach)].tolist():
-                        if c > a + reach:
-                            cuts.append(c)
-                            a = c
-            cuts.sort()
-    return cuts
-
-
-def _lines(text: str | None) -> Iterator[tuple[int, list[re.Match], list[bytes]]]:
-    """(place, words, words as compared) of each line that has words."""
-    at = 0
-    for line in (text or "").split("\n"):
-        found = list(_WORD.finditer(line))
-        if found:
-            yield at, found, [m[0].lower().encode("utf-8", "surrogatepass") for m in found]
-        at += len(line) + 1
-
-
-def units(text: str | None, reach: int = REACH, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units long enough to be compared."""
-    out = []
-    for at, found, words in _lines(text):
-        cuts = _cuts(words, reach)
-        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
-            if b - a >= min_words:
-                out.append((xxhash.xxh3_128_digest(b" ".join(words[a:b])), at + found[a].start(), at + found[b - 1].end()))
-    return out
-
-
-def surroundings(text: str | None, starts: set[int], reach: int = REACH) -> Iterator[tuple]:
-    """(start, hashes before, their places, hashes after, their ends) of units: the words of the next unit and
-    ``reach`` further ones on either side, nearest first, within the line."""
-    ordered = sorted(starts)
-    for at, found, words in _lines(text):
-        k = bisect.bisect_left(ordered, at)
-        if len(words) <= 2 * reach + 1 or k == len(ordered) or ordered[k] >= at + found[-1].end():
+from .common import NULL_ID, batches, columns_of, drop_table, release, write_table
+
+MIN_WORDS, LONG, EVERY = 14, 24, 8
+PIECE = re.compile(r"[^\s.!?][^\n.!?]*[.!?]*|[.!?]+")
+WORD = re.compile(r"\S+")  # what str.split gives
+
+
+def pieces(text: str) -> tuple[list[int], list[int], list[int], list[str]]:
+    """Starts, ends, numbers of words, and words as compared, of what the cuts part."""
+    starts, ends, counts, keys = [], [], [], []
+    low = text.lower()
+    same = len(low) == len(text)  # then each letter has its own place in both
+    for m in PIECE.finditer(low if same else text):
+        words = (m[0] if same else m[0].lower()).split()
+        if len(words) <= LONG:
+            starts.append(m.start())
+            ends.append(m.end())
+            counts.append(len(words))
+            keys.append(" ".join(words))
             continue
-        cuts = _cuts(words, reach)
-        bounds = [*cuts, len(words)]
-        for k, a in enumerate(cuts):
-            if (start := at + found[a].start()) in starts:
-                b = bounds[k + 1]
-                first, last = max(0, bounds[max(0, k - 1)] - reach), min(len(words), bounds[min(k + 2, len(cuts))] + reach)
-                h = lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63)
-                yield start, [h(w) for w in words[first:a][::-1]], [at + m.start() for m in found[first:a][::-1]], [h(w) for w in words[b:last]], [at + m.end() for m in found[b:last]]
+        at, first = m.start(), 0
+        cuts = [k for k, w in enumerate(words) if crc32(w.encode()) % EVERY == 0 and k]
+        places = None
+        for k in [*cuts, len(words)]:
+            key = " ".join(words[first:k])
+            starts.append(at)
+            counts.append(k - first)
+            keys.append(key)
+            if k == len(words):
+                ends.append(m.end())
+            elif same and low.startswith(key + " " + words[k], at):  # parted by one space each
+                ends.append(at + len(key))
+                at += len(key) + 1
+            else:
+                places = places or [(w.start() + m.start(), w.end() + m.start()) for w in WORD.finditer(text[m.start() : m.end()])]
+                ends.append(places[k - 1][1])
+                at = places[k][0]
+            first = k
+    return starts, ends, counts, keys
+
+
+def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(digest, start, end) of the units of a text, in order."""
+    starts, ends, counts, keys = pieces(text or "")
+    out, upto, n = [], 0, 0
+    total = len(keys)
+    digest = xxhash.xxh3_128_digest
+    for k in range(total):
+        while n < min_words and upto < total:
+            n += counts[upto]
+            upto += 1
+        if n < min_words:
+            break
+        out.append((digest(" ".join(keys[k:upto]).encode("utf-8", "surrogatepass")), starts[k], ends[upto - 1]))
+        n -= counts[k]
+    return out
 
 
-def _occurrences(reach: int, min_words: int):
+def _occurrences(min_words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
-            ids, rows, order = [], [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = units(text, reach, min_words)
+            ids, rows = [], []
+            for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                own = units(text, min_words)
                 ids += [doc_id] * len(own)
                 rows += own
-                order += range(len(own))
             digest, start, end = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(digest, pa.binary()), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(order, pa.int32())], ["digest", "doc_id", "start", "end", "k"])
+            halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["d", "e", "id", "start", "end"])
 
     return run
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, as one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -122,89 +111,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _extended(docs: DataFrame, by_doc: DataFrame, reach: int) -> DataFrame:
-    """(doc, more): spans that go beyond the units that go."""
-    # only at the ends of a row of units that all go
-    sides = F.transform("removed", lambda x, i: x.withField("left", F.coalesce(F.get("removed", i - 1)["k"] != x["k"] - 1, F.lit(True))).withField("right", F.coalesce(F.get("removed", i + 1)["k"] != x["k"] + 1, F.lit(True))))
-    edges = by_doc.select("hit_id", F.explode(sides).alias("e")).select("hit_id", "e.*").filter("(left OR right) AND hit_id IS NOT NULL AND first_id IS NOT NULL")
-    edges = write_table(edges.select("hit_id", "start", "end", "first_id", "first_start", "left", "right"), "edges")
-    asked = edges.select(F.col("hit_id").alias("id"), "start").unionByName(edges.select(F.col("first_id").alias("id"), F.col("first_start").alias("start")))
-    asked = write_table(asked.groupBy("id").agg(F.collect_set("start").alias("starts")), "asked")
-    asked_side = small_or_shuffled(asked, asked.agg(F.sum(F.size("starts"))).first()[0] or 0)
-
-    def around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts):
-            rows = [(i, *r) for i, text, starts in zip(*(part.column(c).to_pylist() for c in ("id", "text", "starts")), strict=True) for r in surroundings(text, set(starts), reach)]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "at", "before", "before_at", "after", "after_at"])
-
-    found = docs.join(asked_side, docs["doc_id"] == asked_side["id"]).select("id", "text", "starts").mapInArrow(around, "id long, at int, before array<long>, before_at array<int>, after array<long>, after_at array<int>")
-    # an id with several texts is not extended
-    found = found.withColumn("own", F.xxhash64("before", "before_at", "after", "after_at")).groupBy("id", "at").agg(F.min("own").alias("least"), F.max("own").alias("most"), *[F.first(c).alias(c) for c in ("before", "before_at", "after", "after_at")])
-    found = write_table(found.filter("least = most").drop("least", "most"), "surroundings")
-    n = found.count()
-    here = small_or_shuffled(found.toDF("hit_id", "start", "before", "before_at", "after", "after_at"), n)
-    there = small_or_shuffled(found.toDF("first_id", "first_start", "before_0", "at_0", "after_0", "end_0").drop("at_0", "end_0"), n)
-    pairs = edges.join(here, ["hit_id", "start"]).join(there, ["first_id", "first_start"]).select("hit_id", "start", "end", "left", "right", "before", "before_at", "after", "after_at", "before_0", "after_0")
-
-    def shared(ours: list[int], theirs: list[int]) -> int:
-        n = 0
-        while n < len(ours) and n < len(theirs) and ours[n] == theirs[n]:
-            n += 1
-        return n
-
-    def grow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts):
-            rows = []
-            for r in part.to_pylist():
-                p = shared(r["before"], r["before_0"]) if r["left"] else 0
-                q = shared(r["after"], r["after_0"]) if r["right"] else 0
-                if p or q:
-                    rows.append((r["hit_id"], r["before_at"][p - 1] if p else r["start"], r["after_at"][q - 1] if q else r["end"]))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc", "start", "end"])
-
-    return pairs.mapInArrow(grow, "doc long, start int, end int").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("more"))
-
-
-def dedup_passages(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
-    """Per document: doc_id, text (what stays), removed array<struct<start, end>>, n_units_removed."""
-    docs = columns_of(docs)
-    found = docs.mapInArrow(_occurrences(reach, min_words), "digest binary, doc_id long, start int, end int, k int")
-    # null ids last
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    first = write_table(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first"), "repeated")
-    listed = small_or_shuffled(first, first.count())
-    later = found.join(listed, "digest").filter(~(place == F.col("first")) | F.col("first.last"))
-    unit = F.struct("k", "start", "end", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
-    by_doc = write_table(later.groupBy("doc_id").agg(F.array_sort(F.collect_set(unit)).alias("removed")).withColumnRenamed("doc_id", "hit_id"), "removed")
-    total = by_doc.agg(F.sum(F.size("removed"))).first()[0] or 0
-    gone = by_doc.select("hit_id", F.array_distinct(F.transform("removed", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias("removed"))
-    if extend:
-        more = _extended(docs, by_doc, reach)
-        gone = write_table(gone.join(more, gone["hit_id"] == more["doc"], "left").select("hit_id", "removed", "more"), "grown")
-    else:
-        gone = gone.withColumn("more", F.lit(None).cast("array<struct<start int, end int>>"))
-    side = small_or_shuffled(gone, total)
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document: doc_id, text (what stays), removed array<struct<start, end>>, n_units_removed.
+
+    Occurrences are computed once. Counting combines before it shuffles; of the joins, which are shuffled at every
+    size, Spark may split what a digest found everywhere makes large. Texts move once, to meet their spans.
+    """
+    spark = docs.sparkSession
+    docs = columns_of(docs).withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    found = write_table(docs.select("id", "text").mapInArrow(_occurrences(min_words), "d long, e long, id long, start int, end int"), "units")
+    first = found.groupBy("d", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first")).filter("n > 1")
+    first = write_table(first.select("d", "e", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "repeated")
+    release(spark)
+    later = found.join(first.hint("shuffle_hash"), ["d", "e"]).filter("id > first_id OR start > first_start AND id = first_id")
+    removed = write_table(later.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("gone")), "removed")
+    for t in (found, first):
+        drop_table(t)
+    release(spark)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
             texts, spans, n = [], [], []
-            for text, gone, more in zip(*(part.column(c).to_pylist() for c in ("text", "removed", "more")), strict=True):
-                text, own = text or "", merged([(g["start"], g["end"]) for g in [*(gone or ()), *(more or ())]])
+            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                text, own = text or "", merged([(g["start"], g["end"]) for g in gone or ()])
                 ends = [0, *(x for s in own for x in s), len(text)]
                 texts.append("".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 n.append(len(gone or ()))
             yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(n, pa.int64())], ["doc_id", "text", "removed", "n_units_removed"])
 
-    joined = docs.join(side, docs["doc_id"].eqNullSafe(side["hit_id"]), "left").drop("hit_id")
+    joined = docs.join(removed.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(cut, "doc_id long, text string, removed array<struct<start int, end int>>, n_units_removed long")
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_units_removed, n_spans, removed_spans, kept_sha256."""
-    out = dedup_passages(docs, extend=True)
+    out = dedup_passages(docs)
     return out.select("doc_id", "n_units_removed", F.size("removed").cast("long").alias("n_spans"), F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-__all__ = ["dedup_passages", "merged", "passage_digest", "units"]
+__all__ = ["dedup_passages", "merged", "passage_digest", "pieces", "units"]

@@ -177,37 +177,84 @@ def test_suffix_edges(spark):
     assert suffixes.byte_digest(table(spark, [])).count() == 0
 
 
-def test_passages(spark, corpus):
-    first, want = {}, {}
-    for i, t in corpus:
-        for d, a, b in passages.units(t):
-            if d in first:
-                want.setdefault(i, []).append((a, b))
-            else:
-                first[d] = (i, a)
-    got = {r.doc_id: [(s["start"], s["end"]) for s in r.removed] for r in passages.dedup_passages(table(spark, corpus, True)).collect()}
-    for i, t in corpus:
-        assert got[i] == passages.merged(want.get(i, []))
-    assert sum(bool(got[i]) for i in range(40, 44)) >= 3  # the passage that four documents share
-    assert passages.passage_digest(table(spark, EDGE, True)).count() == len(EDGE) and passages.passage_digest(table(spark, [])).count() == 0
+def passages_brute(rows, least):
+    """Spans that go, by a splitter that walks the text letter by letter."""
+
+    def split(text):
+        spans, a = [], None
+        for k, c in enumerate(text):
+            if a is None:
+                if not c.isspace():
+                    a = k
+            elif c == "\n" or text[k - 1] in ".!?" and c not in ".!?":
+                spans.append((a, k))
+                a = None if c.isspace() else k
+        if a is not None:
+            spans.append((a, len(text)))
+        out = []
+        for a, b in spans:
+            words, k = [], a
+            while k < b:
+                e = k
+                while e < b and not text[e].isspace():
+                    e += 1
+                if e > k:
+                    words.append((k, e))
+                k = e + 1
+            if len(words) <= 24:
+                out.append((a, b, [text[x:y].lower() for x, y in words]))
+                continue
+            own = [[]]
+            for x, y in words:
+                if own[-1] and zlib.crc32(text[x:y].lower().encode()) % 8 == 0:
+                    own.append([])
+                own[-1].append((x, y))
+            out += [(g[0][0], b if g is own[-1] else g[-1][1], [text[x:y].lower() for x, y in g]) for g in own]
+        return out
+
+    first, gone = {}, {}
+    for i, t in sorted(rows):
+        cut = split(t or "")
+        for k in range(len(cut)):
+            words, m = [], k
+            while len(words) < least and m < len(cut):
+                words, m = words + cut[m][2], m + 1
+            if len(words) >= least:
+                key, place = tuple(words), (i, cut[k][0])
+                if first.setdefault(key, place) != place:
+                    gone.setdefault(i, []).append((cut[k][0], cut[m - 1][1]))
+    return gone
 
 
-def test_passages_of_short_lines_and_whole_length(spark):
+def test_passages(spark, corpus):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    some = lambda n: " ".join(word() + r.choice(["", "", "", ".", "!", ","]) for _ in range(n))
     verse = "\n".join(" ".join(word() for _ in range(r.randint(1, 5))) for _ in range(20))
-    passages_ = [" ".join(word() for _ in range(51)) for _ in range(30)]
-    rows = [(0, f"{word()}\n{verse}"), (1, f"{verse}\n{word()}")]
-    for k, p in enumerate(passages_):
-        rows += [(10 + 2 * k, f"{' '.join(word() for _ in range(20))} {p} {' '.join(word() for _ in range(20))}"), (11 + 2 * k, f"{' '.join(word() for _ in range(23))} {p} {' '.join(word() for _ in range(17))}")]
-    rows += [(200, "la " * 150 + word()), (201, f"{word()} " + "la " * 90 + word())]
-    got = {x.doc_id: x for x in passages.dedup_passages(table(spark, rows), extend=True).collect()}
-    assert not any(got[i].removed for i, _ in rows if i % 2 == 0 and i < 200)
-    assert got[1].text.split() == rows[1][1].split()[-1:]
-    for k in range(30):
-        text = rows[3 + 2 * k][1].split()
-        assert got[11 + 2 * k].text.split() == text[:23] + text[-17:]
-    assert got[201].text.split().count("la") <= 12 and got[200].text.split().count("la") <= 24
+    rows = [*corpus, (300, f"{word()}\n{verse}"), (301, f"{verse}\n{word()}"), (302, "la " * 150), (303, "La  la " * 75 + word()), (304, None), (305, ""), (306, f"İ{some(9)}.\n{verse}")]
+    shared = [some(60) for _ in range(20)]
+    for k, p in enumerate(shared):
+        rows += [(400 + 2 * k, f"{some(20)} {p} {some(20)}"), (401 + 2 * k, f"{some(23)} {p.upper()} {some(17)}")]
+    got = {x.doc_id: x for x in passages.dedup_passages(table(spark, rows, True)).collect()}
+    want = passages_brute(rows, passages.MIN_WORDS)
+    for i, t in rows:
+        spans = [(s["start"], s["end"]) for s in got[i].removed]
+        assert (spans, got[i].n_units_removed) == (passages.merged(want.get(i, [])), len(want.get(i, []))), i
+        stay, at = "", 0
+        for a, b in spans:
+            stay, at = stay + (t or "")[at:a], b
+        assert got[i].text == stay + (t or "")[at:]
+    assert got[301].text.split() == rows[[i for i, _ in rows].index(301)][1].split()[-1:]  # short lines, together
+    assert sum(bool(got[401 + 2 * k].removed) for k in range(20)) >= 19
+    assert not any(got[400 + 2 * k].removed for k in range(20))
+
+
+def test_passages_edges(spark):
+    assert passages.passage_digest(table(spark, EDGE, True)).count() == len(EDGE) and passages.passage_digest(table(spark, [])).count() == 0
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    rows = [(None, line), (None, line), (2, line), (2, line), (3, f"{line}\n{line}"), (4, f"short. {line[:30]}")]
+    got = passages.dedup_passages(table(spark, rows, True)).collect()
+    assert sorted((r.doc_id or -1, r.n_units_removed) for r in got) == [(-1, 1), (-1, 1), (2, 0), (2, 0), (3, 2), (4, 0)]
 
 
 @pytest.mark.parametrize("text", ["", "a", "x" * 576, "é" * 900])
