@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -363,8 +362,13 @@ class Remembered(dict):
         """Make ready for many chunks at once."""
 
 
-class Compiled(Remembered):
-    """The same ids from tiktoken's compiled merging, for use where only ids are wanted.
+class Words:
+    """The library's ids of many texts at once, for use where only ids are wanted; nothing is remembered from batch to
+    batch, so memory is a batch's.
+
+    Chunks are what white space parts. A batch's distinct chunks of printable Latin letters, marks and digits are
+    split into words by the vocabulary's own pattern and merged by tiktoken's compiled merging; other chunks (letters
+    that normalising may change, special tokens) go to the tokenizers library.
 
     A word's last byte and the word end are one symbol; a space after the word's bytes stands for the word end
     here, as words have no spaces. The vocabulary's ids rise with the merges, so they serve as tiktoken's
@@ -373,77 +377,79 @@ class Compiled(Remembered):
     """
 
     def __init__(self, path: str):
-        super().__init__(path)
         import tiktoken
+        from tokenizers import Tokenizer
 
-        back = {c: b for b, c in enumerate(self.codec.letters)}
-        end = self.codec.merges.end
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        back = {c: b for b, c in enumerate(byte_letters())}
+        end = spec["model"]["end_of_word_suffix"]
         ranks = {}
-        for token, number in self.codec.merges.vocab.items():
+        for token, number in spec["model"]["vocab"].items():
             closed = token.endswith(end) and token != end
             ranks[bytes(back[c] for c in (token.removesuffix(end) if closed else token)) + b" " * closed] = number
-        self.words = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-        self.closes = np.zeros(max(ranks.values()) + 1, bool)
-        self.closes[[n for b, n in ranks.items() if b.endswith(b" ")]] = True
+        self.merging = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.mark = ranks[b"\n "]  # no chunk holds a line end
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+
+    def distinct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, where each chunk's begin and the last's end)."""
+        plain = [bool(c) and (c.isascii() or max(c) < "\u0180") and c.isprintable() and "<|" not in c for c in chunks]
+        text = "\n".join([c for c, p in zip(chunks, plain, strict=True) if p])
+        ids = self.merging.encode_to_numpy(" ".join(self.words.findall(text.lower())) + " ", disallowed_special=()) if text else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        first, last = np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]])
+        others = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        more = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        sizes, plain = np.empty(len(chunks), np.int64), np.array(plain, bool)
+        sizes[plain], sizes[~plain] = (last - first)[: int(plain.sum())], [len(x) for x in more]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(ends[-1]), np.uint32)
+        own = np.repeat(plain, sizes)
+        out[own] = np.delete(ids, marks)
+        out[~own] = np.concatenate([np.array(x, np.uint32) for x in more]) if more else []
+        return out, ends
 
-    def learn(self, chunks: list[str]) -> None:
-        new, words, many = [], [], []
-        old, special, find = self.old, self.codec.special, self.codec.pattern.findall
-        for c in chunks:
-            if c in self or c in old or not c or not (c.isascii() or max(c) < "\u0180"):
-                continue
-            low = c.lower()
-            if low.isalpha():
-                words.append(low)
-                many.append(1)
-            elif low[-1] in ".," and low[:-1].isalpha():
-                words += (low[:-1], low[-1])
-                many.append(2)
-            elif c.isprintable() and c not in special:
-                parts = find(low)
-                words += parts
-                many.append(len(parts))
-            else:
-                continue
-            new.append(c)
-        if not new:
-            return
-        ids = self.words.encode_ordinary(" ".join(words) + " ")
-        ends = np.concatenate([[0], np.flatnonzero(self.closes[np.array(ids)]) + 1])
-        upto = ends[np.cumsum([0, *many])].tolist()
-        for k, c in enumerate(new):
-            self.keep(c, tuple(ids[upto[k] : upto[k + 1]]))
-
-
-def _joined(lists: pa.ListArray, by_chunk: pa.Array, parted: str | None) -> pa.Array:
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of texts as numbers of a dictionary of them; chunks may be empty."""
+        odd = pc.match_substring_regex(texts, _ODD.pattern)
+        if not pc.any(odd).as_py():
+            lists = pc.utf8_split_whitespace(texts)  # cuts where str.split does
+        else:
+            lists = pa.array([_CHUNK.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_encode())
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last's end)."""
+        lists = self.split(pc.fill_null(texts, "").cast(pa.string()))
+        ids, ends = self.distinct(lists.values.dictionary.to_pylist())
+        which = lists.values.indices.to_numpy()
+        sizes = (ends[1:] - ends[:-1])[which]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat(ends[:-1][which] - upto[:-1], sizes)
+        places += np.arange(len(places))
+        offsets = lists.offsets.to_numpy()
+        return ids[places], upto[offsets]
+
+
+def _joined(lists: pa.ListArray, by_chunk: pa.Array, parted: str) -> pa.Array:
     """What each text's chunks stand for, joined; nulls are left out."""
     values = by_chunk.take(lists.values.indices)
-    if parted is None:
-        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, values), b"")
     stay = values.is_valid().to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(stay)])[lists.offsets.to_numpy()].astype(np.int32)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), values.drop_null()), parted)
 
 
-def packed_ids(known: Remembered, texts: pa.Array) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers."""
-    lists, ids = known.spread(texts)
-    pack = struct.Struct
-    return _joined(lists, pa.array([pack(f"<{len(x)}I").pack(*x) for x in ids], pa.binary()), None).to_pylist()
-
-
 @lru_cache(maxsize=1)
 def remembered(path: str) -> Remembered:
     """A worker's own, kept from task to task."""
     return Remembered(path)
 
 
-@lru_cache(maxsize=1)
-def compiled(path: str) -> Compiled:
-    """A worker's own, kept from task to task."""
-    return Compiled(path)
-
-
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encoded ids are decoded again."""
 

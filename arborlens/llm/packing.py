@@ -33,19 +33,25 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """Per piece of a document: doc_id, piece, start, length, ids_crc32 and a number to deal it by."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = bpe.compiled(path), TaskContext.get().partitionId() << 40
-        stop = int(end).to_bytes(4, "little")
-        for part in batches(parts):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.packed_ids(known, part.column("text")), strict=True):
-                ids += stop
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), n))
-                    n += 1
-            if rows:
-                a, b, c, d, e, f = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int32()), *(pa.array(x, pa.int64()) for x in (c, d, e, f))], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+        words, n = bpe.Words(path), TaskContext.get().partitionId() << 40
+        for part in batches(parts, 4096):
+            ids, ends = words(part.column("text"))
+            # the end token after each text
+            ends = ends + np.arange(len(ends))
+            all_ = np.empty(int(ends[-1]), "<u4")
+            closing = np.zeros(len(all_), bool)
+            closing[ends[1:] - 1] = True
+            all_[closing], all_[~closing] = end, ids
+            many = -(-np.diff(ends) // capacity)  # pieces of each text
+            row = np.repeat(np.arange(part.num_rows), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(capacity, np.diff(ends)[row] - start)
+            first = (ends[:-1][row] + start) * 4
+            data = memoryview(all_).cast("B")
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+            yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(n, n + len(row)))], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+            n += len(row)
 
     return columns_of(docs).mapInArrow(run, PIECES)
 

@@ -293,8 +293,9 @@ def test_bpe_is_the_library():
     texts = ODD + ["".join(r.choice(r.choice(["ab", "the in", "aeio nrst.,!'", "éèß ñ", "日a1 ½"])) for _ in range(r.randint(1, 90))) for _ in range(3000)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [own.encode(t) for t in texts] == want
-    packed = bpe.packed_ids(bpe.Compiled(VOCAB), pa.array(texts))
-    assert [np.frombuffer(x, "<u4").tolist() for x in packed] == want
+    for some in (texts, texts[:1], ["", None], texts[10:]):
+        ids, ends = bpe.Words(VOCAB)(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
     for ids in want[:200]:
         assert "".join(map(bpe.Decoder(own.names).push, ids)) == library.decode(ids, skip_special_tokens=False)
 
@@ -427,7 +428,12 @@ def test_toxicity(spark):
     assert [i for i in held if not got[i].held_out] == []
     assert sum(got[i].predicted == (i % 5 == 0) for i in held) >= 0.97 * len(held)
     weights, bias = toxicity.train([t for _, t in rows], [y for *_, y in labels])
-    assert toxicity.Scorer(weights, bias)("a villainousx") > toxicity.Scorer(weights, bias)("a fine day")  # a spelling never seen
+    some = toxicity.odds(pa.array(["a villainousx", "a fine day", "", None, "a v1llainous"]), weights, bias)
+    assert some[0] > 0 > some[1] and some[4] > some[1] and some[2] == some[3] == bias  # spellings never seen
+    bags = toxicity.Bags(pa.array(["b a a", None, " ", "x " * 20], pa.string()))
+    assert bags.many.tolist() == [1, 1, 1, 3] and bags.size.tolist() == [3, 0, 0, 8, 8, 4]
+    by_word = np.array([{"a": 6.0, "b": 3.0, "x": 1.0}.get(w, 99.0) for w in bags.words])
+    assert bags.averages(by_word).tolist() == [5, 0, 0, 1, 1, 1]  # an average
     edge = toxicity.score(table(spark, EDGE, True), marks).collect()
     assert len(edge) == len(EDGE) and all(0 <= x.score <= 1 for x in edge)
     assert toxicity.score(table(spark, []), marks).count() == 0
