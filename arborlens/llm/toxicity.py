@@ -1,11 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's features are itself and its character n-grams, hashed into ``BUCKETS`` rows of an embedding, so a
-misspelling never seen shares most rows with its word. A document is the average over the features of its
-distinct words (times the root of their number); a softmax of two classes reads it. Embedding and softmax are trained together (gradient steps
-on small batches) on at most ``MAX_ROWS`` labelled documents, those of the smallest hash of doc_id, whose
-crc32(doc_id as text) mod 5 isn't 0. Averaging and softmax are linear, so for scoring the two fold into one
-number a bucket, which is all that tasks carry.
+A text is cut into bags of ``BAG`` words one after the other. A word's features are itself and its character n-grams,
+hashed into ``BUCKETS`` rows of an embedding, so a misspelling never seen shares most rows with its word; digits and
+marks inside a word are part of it. A word is the average over its features, a bag the average over its words, and a
+softmax of two classes reads it. A document's score is that of its most toxic bag, so a few telling words do not fade
+in a long text. Embedding and softmax are trained together (gradient steps on small batches, through each document's
+highest bag) on at most ``MAX_ROWS`` labelled documents, those of the smallest hash of doc_id, whose crc32(doc_id as
+text) mod 5 isn't 0. Averages and softmax are linear, so for scoring the two fold into one number a bucket, which is
+all that tasks carry.
 
 Null texts count as empty; a text without words gets the score of the bias alone. Whole texts are read.
 Labels that are null are left out; of a repeated label row the largest counts. Without labelled rows every
@@ -15,103 +17,133 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, carried, columns_of
 
-BUCKETS, DIM, GRAMS, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 6000, 8, 7
-MIN_DOCS, DECAY, RATE = 5, 1e-4, 10.0
-WORDS = re.compile(r"[^\W\d_]+")
-#: Words that each of a worker's two generations remembers.
-CACHE = 100_000
-
-
-def words_of(text: str | None) -> set[str]:
-    return set(WORDS.findall((text or "").lower()))
+BUCKETS, DIM, GRAMS, BAG, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 8, 6000, 8, 7
+MIN_DOCS, DECAY, RATE, CLASS = 5, 1e-4, 2000.0, 0.5
+#: Characters at a word's two ends that are no part of it.
+MARKS = ".,;:!?()[]{}\"'`|*_~<>=#&%$-+/\\"
+#: Distinct words of a batch whose features are held at once.
+WORDS_AT_ONCE = 20_000
 
 
 def features(word: str) -> list[int]:
     """The buckets of a word and its character n-grams."""
+    word = word.strip(MARKS) or word
     whole = f"<{word}>"
     grams = [whole, *(whole[i : i + n] for n in GRAMS for i in range(len(whole) - n + 1) if n < len(whole))]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a text's distinct words: their average, times the root of how many features there
-    are, so that a few telling words do not fade in a long text."""
-    all_ = [f for w in sorted(words_of(text)) for f in features(w)]
-    if not all_:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    at, n = np.unique(np.array(all_, np.int64), return_counts=True)
-    return at, (n / np.sqrt(n.sum())).astype(np.float32)
+class Bags:
+    """Texts as bags of words: distinct words and their features, and which words stand in which bag of which text."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.string())))
+        values = lists.values.dictionary_encode()
+        words, which = values.dictionary.to_pylist(), values.indices.to_numpy()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        stand = np.array([bool(w) for w in words], bool)[which] if words else np.zeros(0, bool)  # splitting gives empty words at the ends
+        before = np.concatenate([[0], np.cumsum(stand)])
+        self.words, self.which, self.ends = words, which[stand], before[ends]
+        sizes = np.diff(self.ends)
+        #: Bags of each text; one at least, which may be empty.
+        self.many = np.maximum(1, -(-sizes // BAG))
+        self.first = np.concatenate([[0], np.cumsum(self.many)])
+        text = np.repeat(np.arange(len(sizes)), self.many)
+        k = np.arange(len(text)) - self.first[:-1][text]
+        #: The words of a bag.
+        self.start = self.ends[:-1][text] + k * BAG
+        self.size = np.minimum(BAG, self.ends[1:][text] - self.start)
+
+    def spread(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(features one after the other, where each word's begin and the last's end)."""
+        own = [features(w) for w in words]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
+        return np.fromiter((f for x in own for f in x), np.int64, int(ends[-1])), ends
+
+    def averages(self, by_word: np.ndarray) -> np.ndarray:
+        """The average of each bag, from a number for each distinct word."""
+        upto = np.concatenate([[0.0], np.cumsum(by_word[self.which], dtype=np.float64)])
+        return (upto[self.start + self.size] - upto[self.start]) / np.maximum(self.size, 1)
+
+    def highest(self, by_word: np.ndarray) -> np.ndarray:
+        """The largest average among each text's bags."""
+        return np.maximum.reduceat(self.averages(by_word), self.first[:-1]) if len(self.many) else np.zeros(0)
 
 
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias): the log odds of a text are the average weight of its features plus the bias."""
+    """(weight of each bucket, bias): the log odds of a bag are the average weight of its words plus the bias."""
     if not texts or len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(SEED)
-    bags = [bag(t) for t in texts]
-    y = np.array(labels, np.int64)
-    seen = np.bincount(np.concatenate([at for at, _ in bags]), minlength=BUCKETS) >= MIN_DOCS
-    # what few rows hold stays at nought and needs no step; it still counts in the average
-    bags = [(at[k], w[k]) for at, w in bags for k in [seen[at]]]
+    bags, y = Bags(pa.array(texts, pa.string())), np.array(labels, np.int64)
+    feats, ends = bags.spread(bags.words)
+    size = np.diff(ends)
+    # in how many texts a bucket is found: through the distinct (text, word) pairs
+    text = np.repeat(np.arange(len(y)), np.diff(bags.ends))
+    pairs = np.unique(text * len(bags.words) + bags.which)
+    found = np.bincount(pairs % len(bags.words), minlength=len(bags.words))
+    # what few texts hold stays at nought and needs no step; it still counts in the averages
+    seen = np.bincount(feats, np.repeat(found, size), BUCKETS) >= MIN_DOCS
     table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32) * seen[:, None]
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    weight = ((len(y) / (2.0 * np.bincount(y, minlength=2))) ** 0.75).astype(np.float32)  # the rarer class counts more
+    weight = ((len(y) / (2.0 * np.bincount(y, minlength=2))) ** CLASS).astype(np.float32)  # the rarer class counts more
+    heads = ends[:-1]
+    # which bag of a text comes first to be looked at: by how much oftener its features stand in toxic texts
+    toxic = np.bincount(feats, np.repeat(np.bincount(pairs[y[pairs // len(bags.words)] == 1] % len(bags.words), minlength=len(bags.words)), size), BUCKETS)
+    clean = np.bincount(feats, np.repeat(found, size), BUCKETS) - toxic
+    guide = np.where(seen, np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / (len(y) - y.sum() + 2)), 0.0)
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
         fade = 1 - epoch / EPOCHS
+        # each text's highest bag, as the weights stand at the epoch's start
+        by_word = np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]) if epoch else guide)[feats], heads) / size
+        level = bags.averages(by_word)
+        best = np.maximum.reduceat(level, bags.first[:-1])
+        is_best = np.flatnonzero(level == np.repeat(best, bags.many))
+        of = np.searchsorted(bags.first, is_best, "right") - 1
+        chosen = is_best[np.searchsorted(of, np.arange(len(y)))]  # the first of equals
+        order = rng.permutation(len(y))
         for lo in range(0, len(y), 64):
             rows = order[lo : lo + 64]
-            at = np.concatenate([bags[r][0] for r in rows])
-            w = np.concatenate([bags[r][1] for r in rows])
-            of = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            used, place = np.unique(at, return_inverse=True)
-            e = table[used]
-            x = np.stack([np.bincount(of, w * e[place, k], len(rows)) for k in range(DIM)], 1).astype(np.float32)
+            n = bags.size[chosen[rows]]
+            at = np.repeat(bags.start[chosen[rows]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            words, doc = bags.which[at], np.repeat(np.arange(len(rows)), n)
+            m = size[words]
+            f = feats[np.repeat(heads[words] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())] if len(words) else np.zeros(0, np.int64)
+            share = np.repeat(1.0 / (m * n[doc]), m)
+            doc = np.repeat(doc, m)
+            x = np.stack([np.bincount(doc, share * table[f, k], len(rows)) for k in range(DIM)], 1).astype(np.float32)
             z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             g = p * weight[y[rows]][:, None] / len(rows)
-            back = (g @ soft.T)[of] * w[:, None]
+            used, place = np.unique(f, return_inverse=True)
+            back = (g @ soft.T)[doc] * share[:, None]
             grad = np.stack([np.bincount(place, back[:, k], len(used)) for k in range(DIM)], 1)
-            table[used] = e - RATE * fade * (grad + DECAY * e)
+            table[used] -= (RATE * fade * (grad + DECAY / RATE * table[used])).astype(np.float32) * seen[used, None]
             soft -= 0.05 * fade * (x.T @ g)
             bias -= (0.05 * fade * g.sum(0)).astype(np.float32)
     return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-class Scorer:
-    """Log odds of texts; remembers words."""
-
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
-        self.known: dict[str, tuple[float, int]] = {}
-        self.old: dict[str, tuple[float, int]] = {}
-
-    def __call__(self, text: str | None) -> float:
-        if len(self.known) > CACHE:
-            self.known, self.old = {}, self.known
-        known, old, total, n = self.known, self.old, 0.0, 0
-        for w in words_of(text):
-            if (f := known.get(w)) is None:
-                if (f := old.get(w)) is None:
-                    at = features(w)
-                    f = (float(self.weights[at].sum()), len(at))
-                known[w] = f
-            total += f[0]
-            n += f[1]
-        return self.bias + (total / n**0.5 if n else 0.0)
+def odds(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The log odds of each text's most toxic bag. A batch's distinct words are weighed once each."""
+    bags, by_word = Bags(texts), []
+    for at in range(0, len(bags.words), WORDS_AT_ONCE):
+        feats, ends = bags.spread(bags.words[at : at + WORDS_AT_ONCE])
+        by_word.append(np.add.reduceat(weights[feats], ends[:-1]) / np.diff(ends))
+    return bias + bags.highest(np.concatenate(by_word) if by_word else np.zeros(0))
 
 
 def fold(doc_id: Column) -> Column:
@@ -133,10 +165,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights, bias = train([t for t, _ in sample], [y for _, y in sample])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights, bias)
-        for part in batches(parts):
-            odds = np.array([scorer(t) for t in part.column("text").to_pylist()], np.float64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))], ["doc_id", "score"])
+        for part in batches(parts, 4096):
+            yield pa.record_batch([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds(part.column("text"), weights, bias), -50, 50))))], ["doc_id", "score"])
 
     scored = columns_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -148,9 +178,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights, bias = train([t for t, _ in sample], [y for _, y in sample])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights, bias)
-        for part in batches(parts):
-            yield part.filter(pa.array([scorer(t) < 0 for t in part.column("text").to_pylist()], pa.bool_()))
+        for part in batches(parts, 4096):
+            yield part.filter(pa.array(odds(part.column("text"), weights, bias) < 0))
 
     rows = carried(docs, with_text=True)
     return rows.mapInArrow(run, rows.schema).select("rest.*")
