@@ -283,8 +283,8 @@ class Field:
         sums = [np.full_like(self.emit, 1e-8), np.full_like(self.move, 1e-8)]
         for _ in range(EPOCHS):
             grads = [np.zeros_like(self.emit), np.zeros_like(self.move)]
-            for at in range(0, len(tags), 4096):
-                self._add(grads, features[at : at + 4096], tags[at : at + 4096])
+            for at in range(0, len(tags), 2048):
+                self._add(grads, features[at : at + 2048], tags[at : at + 2048])
             for w, g, s in zip((self.emit, self.move), grads, sums, strict=True):
                 g = g / tags.size - 1e-6 * w
                 s += g * g
@@ -398,13 +398,13 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Field:
     rows = sample.mapInArrow(run, "key long, features binary, tags binary").distinct().orderBy("key", "tags", "features").limit(MOST).collect()
     if not rows:
         return field
-    features = np.frombuffer(b"".join(r[1] for r in rows), "<i4").reshape(len(rows), WINDOW, ALL).astype(np.int64)
-    tags = np.frombuffer(b"".join(r[2] for r in rows), "i1").reshape(len(rows), WINDOW).astype(np.int64)
-    shapes, around = features.copy(), features.copy()
+    features = np.frombuffer(b"".join(r[1] for r in rows), "<i4").reshape(len(rows), WINDOW, ALL)
+    tags = np.frombuffer(b"".join(r[2] for r in rows), "i1").reshape(len(rows), WINDOW)
+    has = tags.any(axis=1)
+    shapes, around = features[has], features[has]
     around[:, :, 1:OWN] = HIDDEN
     shapes[:, :, OWN:] = HIDDEN
-    has = tags.any(axis=1)
-    field.fit(np.concatenate([features, shapes[has], around[has]]), np.concatenate([tags, tags[has], tags[has]]))
+    field.fit(np.concatenate([features, shapes, around]), np.concatenate([tags, tags[has], tags[has]]))
     return field
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, carried, columns_of
 
-BUCKETS, DIM, GRAMS, BAG, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 8, 6000, 8, 7
+BUCKETS, DIM, GRAMS, BAG, MAX_ROWS, EPOCHS, SEED = 1 << 17, 8, (3, 4, 5), 8, 4000, 8, 7
 MIN_DOCS, DECAY, RATE, CLASS = 5, 1e-4, 2000.0, 0.5
 #: Characters at a word's two ends that are no part of it.
 MARKS = ".,;:!?()[]{}\"'`|*_~<>=#&%$-+/\\"
@@ -44,14 +44,25 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
 
+def spread(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features one after the other, where each word's begin and the last's end)."""
+    feats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        own = [features(w) for w in words[at : at + WORDS_AT_ONCE]]
+        sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+        feats.append(np.fromiter((f for x in own for f in x), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(feats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 class Bags:
     """Texts as bags of words: distinct words and their features, and which words stand in which bag of which text."""
 
     def __init__(self, texts: pa.Array):
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.string())))
         values = lists.values.dictionary_encode()
+        lists = lists.offsets
         words, which = values.dictionary.to_pylist(), values.indices.to_numpy()
-        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = lists.to_numpy().astype(np.int64)
         stand = np.array([bool(w) for w in words], bool)[which] if words else np.zeros(0, bool)  # splitting gives empty words at the ends
         before = np.concatenate([[0], np.cumsum(stand)])
         self.words, self.which, self.ends = words, which[stand], before[ends]
@@ -65,12 +76,6 @@ class Bags:
         self.start = self.ends[:-1][text] + k * BAG
         self.size = np.minimum(BAG, self.ends[1:][text] - self.start)
 
-    def spread(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(features one after the other, where each word's begin and the last's end)."""
-        own = [features(w) for w in words]
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
-        return np.fromiter((f for x in own for f in x), np.int64, int(ends[-1])), ends
-
     def averages(self, by_word: np.ndarray) -> np.ndarray:
         """The average of each bag, from a number for each distinct word."""
         upto = np.concatenate([[0.0], np.cumsum(by_word[self.which], dtype=np.float64)])
@@ -81,27 +86,41 @@ class Bags:
         return np.maximum.reduceat(self.averages(by_word), self.first[:-1]) if len(self.many) else np.zeros(0)
 
 
+def counted(feats: np.ndarray, ends: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    """For each bucket the sum of a number of the words that have it."""
+    out = np.zeros(BUCKETS)
+    for at in range(0, len(by_word), WORDS_AT_ONCE):
+        to = min(at + WORDS_AT_ONCE, len(by_word))
+        out += np.bincount(feats[ends[at] : ends[to]], np.repeat(by_word[at:to], np.diff(ends[at : to + 1])), BUCKETS)
+    return out
+
+
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     """(weight of each bucket, bias): the log odds of a bag are the average weight of its words plus the bias."""
     if not texts or len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(SEED)
     bags, y = Bags(pa.array(texts, pa.string())), np.array(labels, np.int64)
-    feats, ends = bags.spread(bags.words)
+    del texts
+    (feats, ends), kinds = spread(bags.words), len(bags.words)
+    bags.words = []
     size = np.diff(ends)
     # in how many texts a bucket is found: through the distinct (text, word) pairs
     text = np.repeat(np.arange(len(y)), np.diff(bags.ends))
-    pairs = np.unique(text * len(bags.words) + bags.which)
-    found = np.bincount(pairs % len(bags.words), minlength=len(bags.words))
+    pairs = np.unique(text * kinds + bags.which)
+    del text
+    found = np.bincount(pairs % kinds, minlength=kinds)
     # what few texts hold stays at nought and needs no step; it still counts in the averages
-    seen = np.bincount(feats, np.repeat(found, size), BUCKETS) >= MIN_DOCS
+    holds = counted(feats, ends, found)
+    seen = holds >= MIN_DOCS
     table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32) * seen[:, None]
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     weight = ((len(y) / (2.0 * np.bincount(y, minlength=2))) ** CLASS).astype(np.float32)  # the rarer class counts more
     heads = ends[:-1]
     # which bag of a text comes first to be looked at: by how much oftener its features stand in toxic texts
-    toxic = np.bincount(feats, np.repeat(np.bincount(pairs[y[pairs // len(bags.words)] == 1] % len(bags.words), minlength=len(bags.words)), size), BUCKETS)
-    clean = np.bincount(feats, np.repeat(found, size), BUCKETS) - toxic
+    toxic = counted(feats, ends, np.bincount(pairs[y[pairs // kinds] == 1] % kinds, minlength=kinds))
+    clean = holds - toxic
+    del pairs
     guide = np.where(seen, np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / (len(y) - y.sum() + 2)), 0.0)
     for epoch in range(EPOCHS):
         fade = 1 - epoch / EPOCHS
@@ -139,11 +158,11 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float
 
 def odds(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     """The log odds of each text's most toxic bag. A batch's distinct words are weighed once each."""
-    bags, by_word = Bags(texts), []
+    bags, by_word = Bags(texts), [np.zeros(0)]
     for at in range(0, len(bags.words), WORDS_AT_ONCE):
-        feats, ends = bags.spread(bags.words[at : at + WORDS_AT_ONCE])
+        feats, ends = spread(bags.words[at : at + WORDS_AT_ONCE])
         by_word.append(np.add.reduceat(weights[feats], ends[:-1]) / np.diff(ends))
-    return bias + bags.highest(np.concatenate(by_word) if by_word else np.zeros(0))
+    return bias + bags.highest(np.concatenate(by_word))
 
 
 def fold(doc_id: Column) -> Column:
@@ -151,18 +170,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> list[tuple[str | None, int]]:
-    """(text, toxic) of at most ``most`` labelled documents outside the held-out fold, the same ones each time."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> tuple[list[str | None], list[int]]:
+    """(texts, whether toxic) of at most ``most`` labelled documents outside the held-out fold, the same ones each time."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(fold(F.col("doc_id")) != 0)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ids and labels only; of a bounded number
     rows = columns_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1] or ""))]
+    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    return [r[1] for r in rows], [r[2] for r in rows]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    sample = training_rows(docs, labels)
-    weights, bias = train([t for t, _ in sample], [y for _, y in sample])
+    weights, bias = train(*training_rows(docs, labels))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 4096):
@@ -174,8 +193,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, all columns as they are, whose score is under 0.5."""
-    sample = training_rows(docs, labels)
-    weights, bias = train([t for t, _ in sample], [y for _, y in sample])
+    weights, bias = train(*training_rows(docs, labels))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 4096):
