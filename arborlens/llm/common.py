@@ -96,11 +96,11 @@ def trim() -> None:
 
 
 #: Bytes of texts that a batch holds at most, but for a single longer text.
-BYTES = 16 << 20
+BYTES = 4 << 20
 
 
-def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, of so many rows and ``BYTES`` bytes of strings, so that what one batch holds and gives stays
+def batches(parts: Iterable[pa.RecordBatch], rows: int = 512, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of so many rows and ``most`` bytes of strings, so that what one batch holds and gives stays
     bounded; idle workers keep little."""
     trim()
     for part in parts:
@@ -112,7 +112,7 @@ def batches(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
         at = 0
         while at < part.num_rows:
             held = int(ends[at - 1]) if at else 0
-            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, held + BYTES, "right"))))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, held + most, "right"))))
             yield part.slice(at, to - at)
             at = to
         del part

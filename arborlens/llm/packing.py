@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = bpe.Words(path), TaskContext.get().partitionId() << 40
-        for part in batches(parts, 4096):
+        for part in batches(parts, 4096, 6 << 20):
             ids, ends = words(part.column("text"))
             # the end token after each text
             ends = ends + np.arange(len(ends))

@@ -38,6 +38,8 @@ from .common import batches, carried, columns_of, restored
 
 SAMPLE, WINDOW, EACH, PLAIN, MOST = 3000, 16, 4, 2, 20_000
 WIDTH, EPOCHS = 1 << 15, 25
+#: Bytes of texts whose tokens are held at once, but for a longer text.
+SCANNED = 2 << 20
 O, B, I = 0, 1, 2
 KINDS = ["assign", "access", "hex", "crf"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -390,7 +392,7 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Field:
     sample = docs.filter(F.xxhash64("doc_id") <= F.lit(ids[-1])).select("text").filter("text is not null")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts):
+        for part in batches(parts, 2048, SCANNED):
             got = list(windows(part.column("text")))
             yield pa.record_batch([pa.array([k for k, _, _ in got], pa.int64()), pa.array([f.astype("<i4").tobytes() for _, f, _ in got], pa.binary()), pa.array([t.astype("i1").tobytes() for _, _, t in got], pa.binary())], ["key", "features", "tags"])
 
@@ -446,7 +448,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts, 2048):
+        for part in batches(parts, 2048, SCANNED):
             rows = []
             for base, spans in spans_of(part.column("text"), field):
                 n = [sum(s[2] == k for s in base) for k in KINDS[:3]]
@@ -462,7 +464,7 @@ def mask(docs: DataFrame, mark: str = "[secret]", field: Field | None = None) ->
     field = field or train(docs)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts, 2048):
+        for part in batches(parts, 2048, SCANNED):
             texts = []
             for text, (_, spans) in zip(part.column("text").to_pylist(), spans_of(part.column("text"), field), strict=True):
                 text, out, at = text or "", [], 0

@@ -17,7 +17,6 @@ ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +33,36 @@ MIN_DOCS, DECAY, RATE, CLASS = 5, 1e-4, 2000.0, 0.5
 MARKS = ".,;:!?()[]{}\"'`|*_~<>=#&%$-+/\\"
 #: Distinct words of a batch whose features are held at once.
 WORDS_AT_ONCE = 20_000
-
-
-def features(word: str) -> list[int]:
-    """The buckets of a word and its character n-grams."""
-    word = word.strip(MARKS) or word
-    whole = f"<{word}>"
-    grams = [whole, *(whole[i : i + n] for n in GRAMS for i in range(len(whole) - n + 1) if n < len(whole))]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spread(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features one after the other, where each word's begin and the last's end)."""
+    """The buckets of words and of their character n-grams: (buckets one after the other, where each word's begin and
+    the last's end). A bucket is that of a polynomial in the characters' numbers."""
     feats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for at in range(0, len(words), WORDS_AT_ONCE):
-        own = [features(w) for w in words[at : at + WORDS_AT_ONCE]]
-        sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
-        feats.append(np.fromiter((f for x in own for f in x), np.int32, int(sizes[-1].sum())))
+        own = [w.strip(MARKS) or w for w in words[at : at + WORDS_AT_ONCE]]
+        codes = np.frombuffer(("<" + "><".join(own) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, own), np.int64, len(own)) + 2
+        start = np.concatenate([[0], np.cumsum(size)])
+        word = np.repeat(np.arange(len(own)), size)
+        place = np.arange(len(codes)) - start[word]
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(max(int(size.max()), *GRAMS) + 1, _BASE))
+            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[place])])
+            found = [(np.arange(len(own)), np.zeros(len(own), np.int64), upto[start[1:]] - upto[start[:-1]])]
+            for n in GRAMS:
+                k = np.flatnonzero((place + n <= size[word]) & (size[word] > n))
+                found.append((word[k], place[k], sum((codes[k + i] * powers[i] for i in range(1, n)), codes[k] * powers[0])))
+            found = [(w, p, (x ^ (x >> np.uint64(31))) * _BASE >> np.uint64(32)) for w, p, x in found]
+        many = [np.bincount(w, minlength=len(own)) for w, _, _ in found]
+        ends = np.concatenate([[0], np.cumsum(sum(many))])
+        out, before = np.empty(int(ends[-1]), np.int32), ends[:-1].copy()
+        for (w, p, x), m in zip(found, many, strict=True):
+            out[before[w] + p] = x % np.uint64(BUCKETS)
+            before += m
+        feats.append(out)
+        sizes.append(np.diff(ends))
     return np.concatenate(feats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
@@ -61,7 +73,8 @@ class Bags:
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.string())))
         values = lists.values.dictionary_encode()
         lists = lists.offsets
-        words, which = values.dictionary.to_pylist(), values.indices.to_numpy()
+        # Arrow now and then leaves white space at a text's end on the last word
+        words, which = [w.strip() for w in values.dictionary.to_pylist()], values.indices.to_numpy()
         ends = lists.to_numpy().astype(np.int64)
         stand = np.array([bool(w) for w in words], bool)[which] if words else np.zeros(0, bool)  # splitting gives empty words at the ends
         before = np.concatenate([[0], np.cumsum(stand)])
