@@ -2,8 +2,10 @@
 
 Every ``length``-byte string names an anchor in itself: its first ``GRAM``-byte piece with the least hash.
 Equal strings have equal anchors, so a run of strings with one anchor, kept as the bytes it spans, need only
-meet the runs of equal anchors. Runs whose anchor is found once repeat nothing. Equal runs are one, kept by
-their first place. What is left is dealt by anchor into shards, and each shard sorts the suffixes of its runs
+meet the runs of equal anchors. Runs whose anchor is found once repeat nothing. Equal runs (by a 64-bit hash each of
+the anchor and of all bytes) are one, kept by their first place. Of two runs with one anchor, those that hold an equal
+string agree on half of its other bytes right before or right after the anchor; a run that agrees with none repeats
+nothing. What is left is dealt by anchor into shards, and each shard sorts the suffixes of its runs
 column by column: round j inserts, for each run, the suffix of j symbols, at the place that the collection's
 Burrows-Wheeler transform gives it, and brings the transform, the common prefixes (counted up to ``length``)
 and the suffixes' owners up to date in sequential files beside each other. In the end suffixes with common
@@ -30,11 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns_of, drop_table, release, small_or_shuffled, write_table
+from .common import NULL_ID, batches, columns_of, drop_table, release, write_table
 
 LENGTH, GRAM, EACH, HOT = 100, 24, 1500, 2000
-#: Rows that a join may carry to every executor: of one long, of two dozen bytes (some 60 MB each).
-LISTED_LONGS, LISTED = 3_000_000, 2_000_000
 #: Longer documents are looked at in blocks; a place in one takes the low 24 bits.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -61,16 +61,16 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, first start, last start) of each run of strings with one anchor."""
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, first start, last start, anchor's place) of each run of strings with one anchor."""
     parts = [_anchors(data[at : at + BLOCK + length - 1], at, length, gram) for at in range(0, max(1, len(data) - length + 1), BLOCK)]
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
 
 
-def _anchors(data: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     h = gram_hashes(np.frombuffer(data, np.uint8).astype(np.uint64), gram)
     # hash, then place: the least of a window is its first least hash, and says where that is
     low = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -82,7 +82,7 @@ def _anchors(data: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray
     place = (low & PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-    return h[place[first]], first + base, last + base
+    return h[place[first]], first + base, last + base, place[first] + base
 
 
 class Records:
@@ -216,19 +216,27 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-NULL_ID = (1 << 63) - 1  # a null id, where ids are compared: last
+def _spread(first: np.ndarray, last: np.ndarray, data: bytes, length: int) -> np.ndarray:
+    """A second hash of each run, of all its bytes."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
 
 
-def _spread(h: np.ndarray, first: np.ndarray, last: np.ndarray, data: bytes, length: int) -> np.ndarray:
-    """A second hash of each run, of all its bytes."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
+def sides(own: bytes, anchor: int, length: int, gram: int = GRAM) -> tuple[int | None, int | None]:
+    """Hashes of the bytes right before and right after a run's anchor, half of a string's others each; None where the
+    run has fewer. Two runs of one anchor that hold an equal string agree on one side at least."""
+    half = (length - gram + 1) // 2
+    end = anchor + gram
+    left = xxhash.xxh3_64_intdigest(own[anchor - half : anchor]) - (1 << 63) if anchor >= half else None
+    right = xxhash.xxh3_64_intdigest(own[end : end + half], 1) - (1 << 63) if len(own) - end >= half else None
+    return left, right
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: int = HOT) -> DataFrame:
     """id, spans array<struct<a, b>>: byte spans to be removed, for documents that have any; id is NULL_ID for null.
 
-    Runs travel as two 64-bit hashes, of the anchor and of the run. Bytes are fetched only for runs that share
-    an anchor and differ, one copy of each.
+    Runs travel as two 64-bit hashes, of the anchor and of the run; runs equal in both are taken as equal. Bytes are
+    fetched only for runs that share an anchor and differ, one copy of each, and sorted only for those that agree with
+    another on the bytes beside the anchor. Joins are shuffled at every size.
     """
     spark = docs.sparkSession
 
@@ -237,26 +245,26 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
             ids, found = [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 data = _bytes(text)
-                own = anchors(data, length)
-                ids.append(np.full(len(own[0]), NULL_ID if doc_id is None else doc_id, np.int64))
-                found.append((*own, _spread(*own, data, length)))
+                h, a, b, place = anchors(data, length)
+                ids.append(np.full(len(h), NULL_ID if doc_id is None else doc_id, np.int64))
+                found.append((h, a, (b - a) << 8 | (place - a), _spread(a, b, data, length)))
             if found:
-                h, a, b, d = (np.concatenate([f[k] for f in found]) for k in range(4))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["h", "d", "id", "a", "b"])
+                h, a, c, d = (np.concatenate([f[k] for f in found]) for k in range(4))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(a, pa.int32()), pa.array(c, pa.int32())], ["h", "d", "id", "a", "c"])
 
-    found = write_table(docs.mapInArrow(find, "h long, d long, id long, a int, b int"), "anchors")
+    # c: how many starts follow the first (times 256), and how far the anchor is from it
+    more = F.shiftright("c", 8)
+    found = write_table(docs.mapInArrow(find, "h long, d long, id long, a int, c int"), "anchors")
     repeated = write_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
     release(spark)
-    runs = write_table(found.join(small_or_shuffled(repeated, repeated.count(), LISTED_LONGS), "h"), "runs")
+    runs = write_table(found.join(repeated.hint("shuffle_hash"), "h"), "runs")
     drop_table(found)
     release(spark)
-    different = write_table(runs.groupBy("h", "d").agg(F.min(F.struct("id", "a", "b")).alias("first")), "different")
-    counts = write_table(different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-    several = write_table(different.join(small_or_shuffled(counts, counts.count(), LISTED), "h").select("h", "d", "first.id", "first.a", "first.b", "n"), "several")
-    total = several.filter(F.col("n") <= hot).count()
-    wanted = write_table(several.groupBy("id").agg(F.collect_list(F.struct("h", "d", "a", "b", "n")).alias("runs")), "wanted")
-    side = small_or_shuffled(wanted, several.count(), LISTED)
-    shards = max(1, -(-total // each))
+    different = write_table(runs.groupBy("h", "d").agg(F.min(F.struct("id", "a", "c")).alias("first")), "different")
+    counts = different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = different.join(counts.hint("shuffle_hash"), "h").select("h", "d", "first.id", "first.a", "first.c", "n")
+    wanted = write_table(several.groupBy("id").agg(F.collect_list(F.struct("h", "d", "a", "c", "n")).alias("runs")), "wanted")
+    release(spark)
 
     def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, 128):
@@ -264,14 +272,26 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
             for doc_id, text, runs in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
                 data = _bytes(text)
                 for r in runs:
-                    own = data[r["a"] : r["b"] + length]
+                    after = r["c"] >> 8
+                    own = data[r["a"] : r["a"] + after + length]
                     # of rows that share an id, the one that the run came from
-                    if len(own) == r["b"] - r["a"] + length and np.uint64(xxhash.xxh3_64_intdigest(own)).astype(np.int64) == r["d"]:
-                        rows.append((r["h"], r["d"], own, doc_id, r["a"], r["n"]))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()))], ["h", "d", "own", "id", "a", "n"])
+                    if len(own) == after + length and np.uint64(xxhash.xxh3_64_intdigest(own)).astype(np.int64) == r["d"]:
+                        rows.append((r["h"], r["d"], own, doc_id, r["a"], r["n"], *sides(own, r["c"] & 255, length)))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["h", "d", "own", "id", "a", "n", "l", "r"])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    spelled = write_table(keyed.join(side, "id").mapInArrow(spell, "h long, d long, own binary, id long, a int, n long").dropDuplicates(["h", "d"]), "spelled")
+    spelled = keyed.join(wanted.hint("shuffle_hash"), "id").mapInArrow(spell, "h long, d long, own binary, id long, a int, n long, l long, r long")
+    spelled = write_table(spelled.dropDuplicates(["h", "d"]), "spelled")
+    release(spark)
+    # only what agrees with another run beside the anchor
+    side = lambda k: spelled.filter(F.col(k).isNotNull()).select("h", "d", F.col(k).alias("s"), F.lit(k).alias("k"))
+    beside = side("l").unionByName(side("r"))
+    often = beside.groupBy("h", "s", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    agree = beside.join(often.hint("shuffle_hash"), ["h", "s", "k"]).select("h", "d").distinct()
+    sorted_out = write_table(spelled.join(agree.hint("shuffle_hash"), ["h", "d"], "left_semi").drop("l", "r"), "agreeing")
+    drop_table(spelled)
+    spelled = sorted_out
+    shards = max(1, -(-spelled.filter(F.col("n") <= hot).count() // each))
     release(spark)
 
     def sort(table: pa.Table) -> pa.Table:
@@ -291,10 +311,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
 
     # a run that isn't the first of its equals goes whole; the first loses what starts earlier in others
     first = different.select("h", "d", F.col("first.id").alias("i"), F.col("first.a").alias("p"))
-    marked = runs.join(first, ["h", "d"])
+    marked = runs.join(first.hint("shuffle_hash"), ["h", "d"])
     is_first = (F.col("id") == F.col("i")) & (F.col("a") == F.col("p"))
     packed = lambda a, more: a.cast("long") * 256 + more  # noqa: E731  first start, and how many more follow it
-    whole = marked.filter(~is_first).select("id", packed(F.col("a"), F.col("b") - F.col("a")).alias("s"))
+    whole = marked.filter(~is_first).select("id", packed(F.col("a"), more).alias("s"))
     some = later.join(different, ["h", "d"]).select(F.col("first.id").alias("id"), F.explode("later").alias("o"), F.col("first.a").alias("a")).select("id", packed(F.col("a") + F.col("o"), F.lit(0)).alias("s"))
     starts = whole.unionByName(some).groupBy("id").agg(F.collect_list("s").alias("starts"))
 
@@ -306,7 +326,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
             yield pa.record_batch([part.column("id"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "spans"])
 
     out = write_table(starts.mapInArrow(merge, "id long, spans array<struct<a int, b int>>"), "spans")
-    for t in (repeated, runs, different, counts, several, wanted, spelled, later):
+    for t in (repeated, runs, different, wanted, spelled, later):
         drop_table(t)
     release(spark)
     return out
@@ -325,7 +345,6 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: in
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), removed array<struct<start, end>>."""
     docs = columns_of(docs)
     spans = removed_spans(docs, length, each, hot)
-    side = small_or_shuffled(spans, spans.agg(F.sum(F.size("spans"))).first()[0] or 0, LISTED)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
@@ -338,7 +357,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: in
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.record_batch([part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
-    joined = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(side, "id", "left").select("doc_id", "text", "spans")
+    joined = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(spans.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start int, end int>>")
 
 
