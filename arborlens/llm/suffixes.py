@@ -3,9 +3,9 @@
 Every ``length``-byte string names an anchor in itself: its first ``GRAM``-byte piece with the least hash.
 Equal strings have equal anchors, so a run of strings with one anchor, kept as the bytes it spans, need only
 meet the runs of equal anchors. Runs whose anchor is found once repeat nothing. Equal runs (by a 64-bit hash each of
-the anchor and of all bytes) are one, kept by their first place. Of two runs with one anchor, those that hold an equal
-string agree on half of its other bytes right before or right after the anchor; a run that agrees with none repeats
-nothing. What is left is dealt by anchor into shards, and each shard sorts the suffixes of its runs
+the anchor and of all bytes) are one, kept by their first place. Runs with one anchor that hold an equal string agree
+on three quarters of its other bytes around the anchor, in one of ``KEYS`` ways to share them out before and after it;
+a run that agrees with none repeats nothing. What is left is dealt by anchor into shards, and each shard sorts the suffixes of its runs
 column by column: round j inserts, for each run, the suffix of j symbols, at the place that the collection's
 Burrows-Wheeler transform gives it, and brings the transform, the common prefixes (counted up to ``length``)
 and the suffixes' owners up to date in sequential files beside each other. In the end suffixes with common
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, columns_of, drop_table, release, write_table
 
-LENGTH, GRAM, EACH, HOT = 100, 24, 1500, 2000
+LENGTH, GRAM, EACH, HOT, KEYS = 100, 24, 1500, 20_000, 4
 #: Longer documents are looked at in blocks; a place in one takes the low 24 bits.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -113,18 +113,18 @@ _OWNER, _SIZE, _COMMON, _LOW, _BYTE = np.uint64(32), np.uint64(24), np.uint64(16
 
 def _ranks(transform: np.ndarray, place: np.ndarray, base: np.ndarray, kinds: int) -> np.ndarray:
     """For places in the transform, how many symbols (0 aside) sort before the one there: all smaller ones, and
-    equal ones further up. Counted by blocks of 512."""
+    equal ones further up. Counted by blocks of 128."""
     n = len(transform)
-    blocks = -(-n // 512)
+    blocks = -(-n // 128)
     each = np.bincount(base[:n] + transform, minlength=blocks * kinds).reshape(blocks, kinds)
     upto = np.cumsum(each, axis=0)
     totals = upto[-1].copy()
     totals[0] = 0
     smaller = np.cumsum(totals) - totals
-    padded = np.zeros(blocks * 512, transform.dtype)
+    padded = np.zeros(blocks * 128, transform.dtype)
     padded[:n] = transform
-    own, block = transform[place], place >> 9
-    within = (padded.reshape(blocks, 512)[block] == own[:, None]) & (np.arange(512) < (place & 511)[:, None])
+    own, block = transform[place], place >> 7
+    within = (padded.reshape(blocks, 128)[block] == own[:, None]) & (np.arange(128) < (place & 127)[:, None])
     return smaller[own] + upto[block, own] - each[block, own] + within.sum(axis=1)
 
 
@@ -146,7 +146,7 @@ def sort_columns(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarra
     number = np.cumsum(used)  # symbols from 1 on, in the order of bytes
     kinds = int(number[-1]) + 1
     small = np.uint8 if kinds <= 256 else np.uint16
-    base = (np.arange(int(sizes.sum()) + n, dtype=np.int64) >> 9) * kinds
+    base = (np.arange(int(sizes.sum()) + n, dtype=np.int64) >> 7) * kinds
 
     def shared(i: np.ndarray, li: np.ndarray, j: np.ndarray, lj: np.ndarray) -> np.ndarray:
         differ = windows[row[i] - li] != windows[row[j] - lj]
@@ -221,14 +221,15 @@ def _spread(first: np.ndarray, last: np.ndarray, data: bytes, length: int) -> np
     return np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
 
 
-def sides(own: bytes, anchor: int, length: int, gram: int = GRAM) -> tuple[int | None, int | None]:
-    """Hashes of the bytes right before and right after a run's anchor, half of a string's others each; None where the
-    run has fewer. Two runs of one anchor that hold an equal string agree on one side at least."""
-    half = (length - gram + 1) // 2
-    end = anchor + gram
-    left = xxhash.xxh3_64_intdigest(own[anchor - half : anchor]) - (1 << 63) if anchor >= half else None
-    right = xxhash.xxh3_64_intdigest(own[end : end + half], 1) - (1 << 63) if len(own) - end >= half else None
-    return left, right
+def sides(own: bytes, anchor: int, length: int, gram: int = GRAM, keys: int = KEYS) -> list[int | None]:
+    """Hashes of the bytes beside a run's anchor, None where the run has fewer: the k-th of k * step bytes before it
+    and (keys - 1 - k) * step after it. An equal string in two runs of one anchor has a multiple of step bytes, and
+    less than step more, before the anchor, so the runs agree in one of the hashes at least."""
+    step, end, out = (length - gram) // keys, anchor + gram, []
+    for k in range(keys):
+        before, after = k * step, (keys - 1 - k) * step
+        out.append(xxhash.xxh3_64_intdigest(own[anchor - before : end + after], k) - (1 << 63) if anchor >= before and len(own) - end >= after else None)
+    return out
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot: int = HOT) -> DataFrame:
@@ -276,21 +277,20 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, each: int = EACH, hot:
                     own = data[r["a"] : r["a"] + after + length]
                     # of rows that share an id, the one that the run came from
                     if len(own) == after + length and np.uint64(xxhash.xxh3_64_intdigest(own)).astype(np.int64) == r["d"]:
-                        rows.append((r["h"], r["d"], own, doc_id, r["a"], r["n"], *sides(own, r["c"] & 255, length)))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["h", "d", "own", "id", "a", "n", "l", "r"])
+                        rows.append((r["h"], r["d"], own, doc_id, r["a"], r["n"], sides(own, r["c"] & 255, length)))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["h", "d", "own", "id", "a", "n", "beside"])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    spelled = keyed.join(wanted.hint("shuffle_hash"), "id").mapInArrow(spell, "h long, d long, own binary, id long, a int, n long, l long, r long")
+    spelled = keyed.join(wanted.hint("shuffle_hash"), "id").mapInArrow(spell, "h long, d long, own binary, id long, a int, n long, beside array<long>")
     spelled = write_table(spelled.dropDuplicates(["h", "d"]), "spelled")
     release(spark)
     # only what agrees with another run beside the anchor
-    side = lambda k: spelled.filter(F.col(k).isNotNull()).select("h", "d", F.col(k).alias("s"), F.lit(k).alias("k"))
-    beside = side("l").unionByName(side("r"))
+    beside = spelled.select("h", "d", F.posexplode("beside").alias("k", "s")).filter("s IS NOT NULL")
     often = beside.groupBy("h", "s", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     agree = beside.join(often.hint("shuffle_hash"), ["h", "s", "k"]).select("h", "d").distinct()
-    sorted_out = write_table(spelled.join(agree.hint("shuffle_hash"), ["h", "d"], "left_semi").drop("l", "r"), "agreeing")
+    agreeing = write_table(spelled.join(agree.hint("shuffle_hash"), ["h", "d"], "left_semi").drop("beside"), "agreeing")
     drop_table(spelled)
-    spelled = sorted_out
+    spelled = agreeing
     shards = max(1, -(-spelled.filter(F.col("n") <= hot).count() // each))
     release(spark)
 
