@@ -14,64 +14,95 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+#: White space as the analysers see it: ASCII's, Unicode's separators and the byte order mark.
+SPACE = r"[\t-\r \p{Z}\x{FEFF}]"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+#: How a module's name is found in a line.
+IMPORT = rf"import{SPACE}+(?:(?:\{{[^}}]*\}}|\*{SPACE}+as{SPACE}+\w+|\w+){SPACE}+from{SPACE}+)?['\"`]([^'\"`]+)['\"`]"
+REQUIRE = rf"require{SPACE}*\({SPACE}*['\"`]([^'\"`]+)['\"`]{SPACE}*\)"
+DYNAMIC = rf"import{SPACE}*\({SPACE}*['\"`]([^'\"`]+)['\"`]{SPACE}*\)"
+
+
 def dependencies(files: DataFrame) -> DataFrame:
-    """path, line, kind, module: the first import, require and dynamic import of each line."""
-    kinds = {"import": r"import\s+.*?from\s+['\"]([^'\"]+)['\"]", "require": r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", "dynamic": r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"}
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 1).alias("module")) for k, p in kinds.items()])
-    return lines(files).select("path", "line", F.explode(found).alias("m")).select("path", "line", "m.*").filter("module <> ''")
+    """path, line, kind, module, content: the first import, require and dynamic import of each line, and the line."""
+    kinds = {"import": IMPORT, "require": REQUIRE, "dynamic": DYNAMIC}
+    rows = lines(files).select("path", "line", trimmed(F.col("text")).alias("content"))
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("content", p, 1).alias("module")) for k, p in kinds.items()])
+    return rows.select("path", "line", "content", F.explode(found).alias("m")).select("path", "line", "m.*", "content").filter("module <> ''")
+
+
+#: How a line begins that is of a kind. ``const x = ...`` is a function and a variable.
+STRUCTURE = {
+    "import": r"^(?:import|from) ",
+    "export": r"^export ",
+    "function": rf"^(?:function|const|let|var){SPACE}+\w+{SPACE}*[=\(]",
+    "class": rf"^class{SPACE}+\w+",
+    "variable": rf"^(?:const|let|var){SPACE}+\w+{SPACE}*=",
+}
 
 
 def structure(files: DataFrame) -> DataFrame:
-    """path, line, kind, name: imports, exports, functions, classes, variables. ``const x = () =>`` is a function and a variable."""
-    kinds = {
-        "import": r"^\s*import\s+(.*)$",
-        "export": r"^\s*export\s+(.*)$",
-        "function": r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>)",
-        "class": r"class\s+(\w+)",
-        "variable": r"(?:const|let|var)\s+(\w+)\s*=",
-    }
-    name = lambda k, p: F.coalesce(F.nullif(F.regexp_extract("text", p, 1), F.lit("")), F.regexp_extract("text", p, 2)) if k == "function" else F.regexp_extract("text", p, 1)
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), name(k, p).alias("name")) for k, p in kinds.items()])
-    return lines(files).select("path", "line", F.explode(found).alias("m")).select("path", "line", "m.*").filter("name <> ''")
+    """path, line, kind, content: lines that import, export, or declare functions, classes and variables."""
+    rows = lines(files).select("path", "line", trimmed(F.col("text")).alias("content"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(k)) for k, p in STRUCTURE.items()]))
+    return rows.select("path", "line", F.explode(kinds).alias("kind"), "content")
 
 
 #: Words before a bracket that aren't calls.
-NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return"]
+NOT_CALLS = ["if", "for", "while", "switch", "catch", "typeof", "instanceof"]
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """path, line, name: words before an opening bracket."""
-    return lines(files).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1))).alias("name")).filter(~F.col("name").isin(*NOT_CALLS))
+    """path, line, name, index: words before an opening bracket, which may stand on a later line; the index counts
+    UTF-16 units of the whole text. A null content has none."""
+    import re
+
+    call = re.compile(r"([A-Za-z0-9_]+)[\t-\r \xa0  -     　﻿]*\(")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, text in zip(part["path"], part["content"], strict=True):
+                text = text or ""
+                line, units, at = 1, 0, 0
+                for m in call.finditer(text):
+                    before = text[at : m.start()]
+                    line, units, at = line + before.count("\n"), units + len(before.encode("utf-16-le")) // 2, m.start()
+                    if m[1] not in NOT_CALLS:
+                        rows.append((path, line, m[1], units))
+            yield pd.DataFrame(rows, columns=["path", "line", "name", "index"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, line long, name string, index long")
 
 
-#: Parts of lines that count as branches.
-BRANCHES = ["if", "else", "for", "while", "switch", "case", "catch", "&&", "||"]
+#: Parts of lines that count as branches, each once a line.
+BRANCHES = ["if", "else", "for", "while", "case", "catch", "&&", "||", "?"]
 
 
 def complexity(files: DataFrame) -> DataFrame:
-    """path, branches, maxNesting, maxLine, meanLine, commentRatio. Nesting never falls below nought."""
-    text = F.col("content")
-    all_ = F.split(text, "\n")
-    branch = F.lit(False)
-    depth = F.aggregate(
-        F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda s, c: F.struct(F.greatest(s["now"] + F.when(c == "{", 1).otherwise(-1), F.lit(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most")),
-        lambda s: s["most"],
-    )
-
-    def is_branch(line: Column) -> Column:
-        out = branch
-        for b in BRANCHES:
-            out = out | line.contains(b)
-        return out
-
-    comment = lambda x: F.ltrim(x).startswith("//") | F.ltrim(x).startswith("#") | F.ltrim(x).startswith("/*") | F.ltrim(x).startswith("*")
-    lengths = F.transform(all_, F.length)
+    """path, branches, maxNesting, maxLine, meanLine, commentRatio. A line opens one level at most and closes one at
+    most, never below nought; lengths are UTF-16 units. A null content counts as an empty one."""
+    all_ = F.split(F.coalesce("content", F.lit("")), "\n")
+    count = lambda test: F.size(F.filter(all_, test))
+    having = lambda part: count(lambda x: x.contains(part))
+    branches = sum(map(having, BRANCHES[1:]), having(BRANCHES[0]))
+
+    def step(s: Column, x: Column) -> Column:
+        opened = s["now"] + F.when(x.contains("{"), 1).otherwise(0)
+        closed = F.when(x.contains("}"), F.greatest(opened - 1, F.lit(0))).otherwise(opened)
+        return F.struct(closed.alias("now"), F.greatest(s["most"], opened).alias("most"))
+
+    depth = F.aggregate(all_, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+    lengths = F.transform(all_, lambda x: F.length(x) + F.length(F.regexp_replace(x, r"[^\x{10000}-\x{10FFFF}]", "")))
     return files.select(
-        "path", F.size(F.filter(all_, is_branch)).alias("branches"), depth.alias("maxNesting"), F.array_max(lengths).alias("maxLine"),
+        "path", branches.alias("branches"), depth.alias("maxNesting"), F.array_max(lengths).alias("maxLine"),
         (F.aggregate(lengths, F.lit(0).cast("long"), lambda s, n: s + n) / F.size(all_)).alias("meanLine"),
-        (F.size(F.filter(all_, comment)) / F.size(all_)).alias("commentRatio"),
+        (count(lambda x: trimmed(x).rlike(r"^(?://|/\*|\*)")) / F.size(all_)).alias("commentRatio"),
     )
 
 

@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 import builtins
+import collections
+import datetime
+import json
+import logging
+import math
+import random
+import re
+import statistics
+import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,28 +21,45 @@ from ..functions import paths as P
 from ..tables import first_by
 from .structure import node_id
 
-#: Names that belong to Python itself: its built-ins and the methods of its plain types.
-PYTHON_NAMES = sorted({n for o in (builtins, str, bytes, list, dict, set, tuple, int, float) for n in dir(o) if not n.startswith("_")})
-#: Methods of logging, dates and JSON; script names of the language, its collections and the browser.
-PYTHON_LIBRARY = ["now", "today", "isoformat", "strftime", "strptime", "getLogger", "debug", "info", "warning", "error", "critical", "exception", "loads", "dumps", "load", "dump", "getenv", "sleep", "gather", "uuid4", "defaultdict", "namedtuple", "sqrt", "mean", "median", "findall", "search", "match", "sub"]
-SCRIPT_NAMES = [
-    "parseInt", "parseFloat", "isNaN", "isFinite", "push", "pop", "shift", "unshift", "slice", "splice", "concat", "join", "reverse", "sort",
-    "indexOf", "includes", "find", "findIndex", "filter", "map", "reduce", "forEach", "some", "every", "flat", "flatMap", "from", "isArray",
-    "keys", "values", "entries", "assign", "create", "freeze", "hasOwnProperty", "toString", "valueOf", "charAt", "charCodeAt", "endsWith",
-    "startsWith", "match", "padEnd", "padStart", "repeat", "replace", "search", "split", "substring", "toLowerCase", "toUpperCase", "trim",
-    "toFixed", "getTime", "toISOString", "then", "catch", "finally", "resolve", "reject", "all", "log", "error", "warn", "info", "debug",
-    "getElementById", "querySelector", "createElement", "addEventListener", "appendChild", "useState", "useEffect", "useMemo", "useRef",
-    "useCallback", "fetch", "get", "post", "stringify", "parse", "abs", "ceil", "floor", "max", "min", "pow", "random", "round", "sqrt",
-    "describe", "test", "expect", "beforeEach", "require", "setTimeout", "setInterval", "clearTimeout", "Array", "Object", "String", "Number",
-    "Boolean", "Date", "RegExp", "Error", "Set", "Map", "Symbol", "Promise",
-]
+def python_names() -> frozenset[str]:
+    """Public names of Python's built-ins and plain types, of the classes of dates and loggers, and of the modules for
+    JSON, patterns, numbers and identifiers, as the Python that runs has them. Other lists are given to ``is_builtin``."""
+    holders = [builtins, str, bytes, list, dict, set, tuple, int, float, datetime.datetime, datetime.date, datetime.time, logging.Logger, json, re, math, random, statistics, uuid, collections]
+    return frozenset(n for o in holders for n in dir(o) if not n.startswith("_"))
+
+
+#: What ECMAScript 2023 defines, by object: global functions, constructors, and their public methods.
+SCRIPT_NAMES = {
+    "globals": "decodeURI decodeURIComponent encodeURI encodeURIComponent escape eval isFinite isNaN parseFloat parseInt unescape",
+    "constructors": "AggregateError Array ArrayBuffer BigInt Boolean DataView Date Error EvalError Function Map Number Object Promise Proxy RangeError ReferenceError RegExp Set SharedArrayBuffer String Symbol SyntaxError TypeError URIError WeakMap WeakRef WeakSet",
+    "Array": "at concat copyWithin entries every fill filter find findIndex findLast findLastIndex flat flatMap forEach from includes indexOf isArray join keys lastIndexOf map of pop push reduce reduceRight reverse shift slice some sort splice unshift values",
+    "Date": "getDate getDay getFullYear getHours getMilliseconds getMinutes getMonth getSeconds getTime now setDate setFullYear setHours setMinutes setMonth setSeconds toDateString toISOString toJSON toTimeString",
+    "JSON": "parse stringify",
+    "Map and Set": "add clear delete get has set",
+    "Math": "abs acos asin atan atan2 ceil cos exp floor log max min pow random round sign sin sqrt tan trunc",
+    "Number": "isInteger isSafeInteger toExponential toFixed toPrecision",
+    "Object": "assign create defineProperties defineProperty freeze fromEntries hasOwnProperty isPrototypeOf preventExtensions propertyIsEnumerable seal toLocaleString toString valueOf",
+    "Promise": "all allSettled any catch finally race reject resolve then",
+    "RegExp": "exec test",
+    "String": "charAt charCodeAt codePointAt endsWith localeCompare match matchAll normalize padEnd padStart repeat replace replaceAll search split startsWith substring toLowerCase toUpperCase trim trimEnd trimStart",
+}
+
+
+def script_names() -> frozenset[str]:
+    return frozenset(n for names in SCRIPT_NAMES.values() for n in names.split())
+
+
 SUFFIXES = ["", ".js", ".ts", ".tsx", ".jsx", "/index.js", "/index.ts", "/index.tsx", "/index.jsx"]
 
 
-def is_builtin(path: Column, name: Column) -> Column:
-    """Names not worth resolving: a language's own, up to two letters, dunders, names that end with an underscore."""
-    python, script = P.extname(path) == ".py", P.extname(path).isin(".js", ".jsx", ".ts", ".tsx")
-    own = (python & name.isin(*PYTHON_NAMES, *PYTHON_LIBRARY)) | (script & name.isin(*SCRIPT_NAMES))
+def is_builtin(path: Column, name: Column, python: Collection[str] | None = None, script: Collection[str] | None = None) -> Column:
+    """Names not worth resolving: a language's own, up to two letters, dunders, names that end with an underscore.
+
+    The languages' names are parameters: Python's default to ``python_names``, those of JavaScript and TypeScript to
+    ``script_names``. Names of browsers, frameworks, databases and test tools are in neither; give them where they count.
+    """
+    is_python, is_script = P.extname(path) == ".py", P.extname(path).isin(".js", ".jsx", ".ts", ".tsx")
+    own = (is_python & name.isin(*sorted(python_names() if python is None else python))) | (is_script & name.isin(*sorted(script_names() if script is None else script)))
     return own | (F.length(name) <= 2) | name.rlike(r"^__\w+__$|^\w+_$")
 
 

@@ -175,24 +175,59 @@ def _sources(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(_text("c_custkey").alias("path"), content.alias("content"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS path, 1 AS line, 'import' AS kind, 'm' || c_custkey AS module FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 'require', 'r' || c_nationkey FROM customer")
+def _files(spark, sf_dir):
+    """Every document, and a small script with each customer's keys in it, as files."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(s("d"), _text("doc_id")).alias("path"), F.col("text").alias("content"))
+    script = F.concat(s("﻿ import {a} from `m"), _text("c_custkey"), s("`;\nimport 'side';\nconst a = require('r"), _text("c_nationkey"), s("');\n\tfunction go (p) { // {\n  if (p) { run\n(call(p)) || x ? y : z; }\n}}\nfrom x import y\nclass K {}\n * text\nexport let b=await import ( \"d\" )"))
+    return docs.unionByName(table(spark, sf_dir, "customer").select(_text("c_custkey").alias("path"), script.alias("content")))
+
+
+_WS = r"[\t-\r \p{Z}\x{FEFF}]"
+_FILES = rf"""WITH f AS (SELECT 'd' || doc_id AS path, text AS content FROM documents UNION ALL SELECT CAST(c_custkey AS VARCHAR), array_to_string([
+  chr(65279) || ' import {{a}} from `m' || c_custkey || '`;', 'import ''side'';', 'const a = require(' || chr(39) || 'r' || c_nationkey || chr(39) || ');', chr(9) || 'function go (p) {{ // {{', '  if (p) {{ run',
+  '(call(p)) || x ? y : z; }}', '}}}}', 'from x import y', 'class K {{}}', ' * text', 'export let b=await import ( "d" )'], chr(10)) FROM customer),
+l AS (SELECT path, unnest(range(len(string_split(content, chr(10))))) + 1 AS line, unnest(string_split(content, chr(10))) AS raw FROM f WHERE content IS NOT NULL),
+t AS (SELECT path, line, raw, regexp_replace(raw, '^{_WS}+|{_WS}+$', '', 'g') AS content FROM l)"""
+
+
+@query(_FILES + rf""", k AS (SELECT path, line, content, unnest([
+ {{'kind': 'import', 'module': regexp_extract(content, 'import{_WS}+(?:(?:\{{[^}}]*\}}|\*{_WS}+as{_WS}+\w+|\w+){_WS}+from{_WS}+)?[''"`]([^''"`]+)[''"`]', 1)}},
+ {{'kind': 'require', 'module': regexp_extract(content, 'require{_WS}*\({_WS}*[''"`]([^''"`]+)[''"`]{_WS}*\)', 1)}},
+ {{'kind': 'dynamic', 'module': regexp_extract(content, 'import{_WS}*\({_WS}*[''"`]([^''"`]+)[''"`]{_WS}*\)', 1)}}]) AS m FROM t)
+SELECT path, line, m.kind AS kind, m.module AS module, content FROM k WHERE m.module <> ''""")
 def t_dependencies(spark, sf_dir):
-    return code.dependencies(_sources(spark, sf_dir))
+    return code.dependencies(_files(spark, sf_dir))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS path, line, kind, name FROM customer, (VALUES (1, 'import', 'x from ''m' ), (2, 'variable', 'a'), (3, 'function', 'go'), (6, 'class', 'K')) v(line, kind, name) WHERE kind <> 'import'")
+@query(_FILES + rf""" SELECT path, line, 'import' AS kind, content FROM t WHERE starts_with(content, 'import ') OR starts_with(content, 'from ')
+UNION ALL SELECT path, line, 'export', content FROM t WHERE starts_with(content, 'export ')
+UNION ALL SELECT path, line, 'function', content FROM t WHERE regexp_matches(content, '^(function|const|let|var){_WS}+\w+{_WS}*[=(]')
+UNION ALL SELECT path, line, 'class', content FROM t WHERE regexp_matches(content, '^class{_WS}+\w+')
+UNION ALL SELECT path, line, 'variable', content FROM t WHERE regexp_matches(content, '^(const|let|var){_WS}+\w+{_WS}*=')""")
 def t_structure(spark, sf_dir):
-    return code.structure(_sources(spark, sf_dir)).filter("kind <> 'import'")
+    return code.structure(_files(spark, sf_dir))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS path, line, name FROM customer, (VALUES (2, 'require'), (3, 'go'), (4, 'run'), (4, 'call')) v(line, name)")
+@query(_FILES + rf""", c AS (SELECT path, unnest(regexp_extract_all(content, '(\w+){_WS}*\(', 1)) AS name FROM f)
+SELECT path, name, count(*) AS n FROM c WHERE name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'typeof', 'instanceof') GROUP BY ALL""")
 def t_calls(spark, sf_dir):
-    return code.calls(_sources(spark, sf_dir))
+    return code.calls(_files(spark, sf_dir)).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS path, 1 AS branches, 2 AS \"maxNesting\", round(1 / 7.0, 6) AS \"commentRatio\" FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, line, name FROM customer, (VALUES (3, 'require'), (4, 'go'), (5, 'run'), (6, 'call'), (11, 'import')) v(line, name)")
+def t_call_lines(spark, sf_dir):
+    return code.calls(_files(spark, sf_dir)).filter(~F.col("path").startswith("d")).select("path", "line", "name")
+
+
+@query(_FILES + rf""", b AS (SELECT path, string_split(coalesce(content, ''), chr(10)) AS rows FROM f),
+o AS (SELECT *, list_reduce(list_prepend(0, list_transform(rows, lambda x: CAST(contains(x, '{{') AS INT) + 2 * CAST(contains(x, '}}') AS INT))),
+ lambda a, x: greatest(a // 100000, a % 100000 + x % 2) * 100000 + CASE WHEN x >= 2 THEN greatest(0, a % 100000 + x % 2 - 1) ELSE a % 100000 + x % 2 END) AS deep,
+ list_transform(rows, lambda x: length(x) + length(regexp_replace(x, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))) AS lengths FROM b)
+SELECT path, CAST(list_sum(list_transform(['if', 'else', 'for', 'while', 'case', 'catch', '&&', '||', '?'], lambda k: len(list_filter(rows, lambda x: contains(x, k))))) AS INT) AS branches, CAST(deep // 100000 AS INT) AS "maxNesting",
+ round(len(list_filter(rows, lambda x: regexp_matches(x, '^{_WS}*(//|/\*|\*)'))) / CAST(len(rows) AS DOUBLE), 6) AS "commentRatio",
+ CAST(list_max(lengths) AS INT) AS "maxLine", round(list_sum(lengths) / CAST(len(rows) AS DOUBLE), 6) AS "meanLine" FROM o""")
 def t_complexity(spark, sf_dir):
-    return code.complexity(_sources(spark, sf_dir)).select("path", "branches", "maxNesting", F.round("commentRatio", 6).alias("commentRatio"))
+    return code.complexity(_files(spark, sf_dir)).select("path", "branches", "maxNesting", F.round("commentRatio", 6).alias("commentRatio"), "maxLine", F.round("meanLine", 6).alias("meanLine"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS path, 'function go(p) {' AS match, CAST(length('import x from ''m' || c_custkey || ''';') + length('const a = require(''r' || c_nationkey || ''');') + 2 AS BIGINT) AS index FROM customer")

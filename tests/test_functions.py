@@ -45,11 +45,17 @@ def test_columns(spark, column, want):
 def test_code(spark):
     text = "import a from 'm';\nconst f = () => { if (x) { g(1); } }\nclass K {}\n// note\nlet v = require('n');"
     files = spark.createDataFrame([("p.js", text)], "path string, content string")
-    assert {(r.kind, r.module) for r in code.dependencies(files).collect()} == {("import", "m"), ("require", "n")}
-    assert {(r.kind, r.name) for r in code.structure(files).collect()} >= {("function", "f"), ("variable", "f"), ("class", "K"), ("variable", "v")}
-    assert [(r.line, r.name) for r in code.calls(files).collect()] == [(2, "g"), (5, "require")]
+    assert {(r.kind, r.module, r.content) for r in code.dependencies(files).collect()} == {("import", "m", "import a from 'm';"), ("require", "n", "let v = require('n');")}
+    rows = text.split("\n")
+    assert {(r.line, r.kind, r.content) for r in code.structure(files).collect()} == {(1, "import", rows[0]), (2, "function", rows[1]), (2, "variable", rows[1]), (3, "class", rows[2]), (5, "function", rows[4]), (5, "variable", rows[4])}
+    assert [(r.line, r.name, r["index"]) for r in code.calls(files).collect()] == [(2, "g", text.index("g(1")), (5, "require", text.index("require"))]
     c = code.complexity(files).first()
-    assert (c.maxNesting, c.branches) == (2, 1) and math.isclose(c.commentRatio, 0.2)
+    assert (c.maxNesting, c.branches, c.maxLine) == (1, 1, len(rows[1])) and math.isclose(c.commentRatio, 0.2)
+    odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "\U0001f600 run\n (x)\n} {\n{ if else ?\n typeof (y)\n# no\n* yes"), ("d", "import 'x'\nimport {b} from `y`; import('z')")], "path string, content string")
+    assert [(r.path, r.line, r.name, r["index"]) for r in code.calls(odd).collect()] == [("c", 1, "run", 3), ("d", 2, "import", 32)]
+    got = {r.path: (r.branches, r.maxNesting, r.maxLine, round(r.commentRatio, 6)) for r in code.complexity(odd).collect()}
+    assert got == {"a": (0, 0, 0, 0), "b": (0, 0, 0, 0), "c": (3, 1, 11, round(1 / 7, 6)), "d": (0, 1, 32, 0)}
+    assert sorted((r.line, r.kind, r.module) for r in code.dependencies(odd).collect()) == [(1, "import", "x"), (2, "dynamic", "z"), (2, "import", "y")]
     assert [(r["index"], r.match, r.groups) for r in code.find_patterns(files, {"k": r"class (\w+)"}).collect()] == [(text.index("class"), "class K", ["K"])]
     assert code.snippet("x\n\ndef f():\n    a\n    b\n\nend", 3).split("\n")[2] == "def f():"
     assert len(code.snippet("\n".join(map(str, range(300))), 100, "class").split("\n")) == 23
