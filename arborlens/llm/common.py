@@ -25,14 +25,27 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that Spark hands to Python at a time, where the session has no setting of its own: texts are long.
+ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches between Spark and its Python workers small: both sides hold one for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own
+        spark.conf.set(name, str(ROWS))
+
+
 def columns_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no further column of the input can clash with a working name."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def carried(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, text, and the columns of the input in one struct ``rest``, where no name can clash; the text itself
     is among them only on request."""
+    small_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "text" or with_text]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("rest"))
 

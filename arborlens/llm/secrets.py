@@ -39,7 +39,7 @@ from .common import batches, carried, columns_of, restored
 SAMPLE, WINDOW, EACH, PLAIN, MOST = 3000, 16, 4, 2, 20_000
 WIDTH, EPOCHS = 1 << 15, 25
 #: Bytes of texts whose tokens are held at once, but for a longer text.
-SCANNED = 2 << 20
+SCANNED = 1 << 20
 O, B, I = 0, 1, 2
 KINDS = ["assign", "access", "hex", "crf"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
