@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,8 @@ def _pack_part(table: pa.Table, capacity: int, prefix: int, last: bool) -> pa.Ta
     table, lengths = table.take(pa.array(order)), lengths[order]
     bins, places, room = best_fit(lengths, capacity)
     free = np.array(room)
-    gap = len(room) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    gap = len(room) - bound
     if last or not free.any():
         given = np.zeros(len(room), bool)
     elif gap:
@@ -112,7 +114,7 @@ def _pack_part(table: pa.Table, capacity: int, prefix: int, last: bool) -> pa.Ta
     else:
         given = np.arange(len(room)) == int(free.argmax())
     part = table.column("part")[0].as_py()
-    for name, column in (("sequence_id", (prefix << 56) + (part << 28) + bins), ("offset", places), ("given", given[bins])):
+    for name, column in (("sequence_id", (prefix << 56) + (part << 28) + bins), ("offset", places), ("part_bins", np.full(len(bins), len(room))), ("part_bound", np.full(len(bins), bound)), ("given", given[bins])):
         table = table.append_column(name, pa.array(column))
     return table.drop_columns(["part"])
 
@@ -125,21 +127,22 @@ def _packer(capacity: int, prefix: int, last: bool):
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, each: int = EACH) -> DataFrame:
-    """Items (length, deal and what else they carry) -> the same with sequence_id and offset. ``items`` must be
-    a written table: it is read more than once."""
+    """Items (length, deal and what else they carry) -> the same with sequence_id and offset, and the certificate of the
+    partition that packed them last: its bins and its lower bound. ``items`` must be a written table: it is read more
+    than once. Rounds go on while they leave fewer partitions."""
     done, pool, before = [], items, None
-    for turn in range(8):
+    for turn in count():
         n = pool.count()
         parts = max(1, -(-n // each))
-        last = parts == 1 or parts == before or turn == 7
+        last = parts == 1 or parts == before
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(parts)))
-        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, sequence_id long, offset long, given boolean"
+        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, sequence_id long, offset long, part_bins long, part_bound long, given boolean"
         run = dealt.groupBy("part").applyInArrow(_packer(capacity, turn, last), schema)
         packed = write_table(run, "packed")
         done.append(packed.filter("not given").drop("given"))
         if last:
             break
-        pool, before = packed.filter("given").drop("given", "sequence_id", "offset"), parts
+        pool, before = packed.filter("given").drop("given", "sequence_id", "offset", "part_bins", "part_bound"), parts
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -147,7 +150,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, each: int = EACH) -> DataFr
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, each: int = EACH) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound."""
     items = write_table(pieces(docs, path, capacity, end), "pieces")
     return pack(items, capacity, each).drop("deal")
 

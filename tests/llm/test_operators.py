@@ -336,7 +336,8 @@ def test_bpe_tables(spark):
 @pytest.mark.parametrize("each", [50_000, 20])
 def test_packing(spark, corpus, each):
     rows = [*corpus, (500, "word " * 9000), (501, None), (502, "")]
-    got = packing.pack_documents(table(spark, rows, True), VOCAB, 256, 1, each).collect()
+    packed = packing.pack_documents(table(spark, rows, True), VOCAB, 256, 1, each).cache()
+    got = packed.collect()
     own = bpe.codec(VOCAB)
     want = []
     for i, t in rows:
@@ -353,7 +354,8 @@ def test_packing(spark, corpus, each):
             at += length
         assert at <= 256
     bound = packing.lower_bound(np.bincount([w[3] for w in want], minlength=257), 256)
-    assert bound <= len(bins) <= 1.1 * bound + 1
+    assert bound <= len(bins) <= 1.1 * bound + 1 and packing.certificate(packed, 256) == (len(bins), bound)
+    assert all(r.part_bound <= r.part_bins for r in got) and (each == 20 or {(r.part_bins, r.part_bound) for r in got} == {(len(bins), bound)})
 
 
 def test_packing_bounds():
