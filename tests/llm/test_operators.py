@@ -472,6 +472,22 @@ def test_spans_are_those_of_whole_chains():
         assert field.spans(tokens) == [tuple(x) for x in want]
 
 
+def test_long_runs_of_keys_end(spark):
+    from time import process_time
+
+    field, n = secrets.Field(), 8000  # every token may be a secret's
+    field.emit[secrets._mix(0, np.zeros(1))[0]] = 0, 1, 2
+    r = random.Random(8)
+    text = "\n".join("".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(n))
+    odd = "\u0130\u017f to\u212aen=abcdefghijklmn \U0001f600 toKEN =\" abcd api_KEY: 'abcdef0123456789\u212a0'"  # letters that only look like k
+    at = odd.index("abcdef01")
+    began = process_time()
+    assert field.spans(secrets.Tokens(pa.array([text]))) == [(0, n - 1)] and process_time() - began < 10
+    got = {x.doc_id: x for x in secrets.scan(table(spark, [(1, text), (2, None), (3, odd)]), field).collect()}
+    lines = ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(n))
+    assert [(got[k].n_assign, got[k].n_access, got[k].n_hex, got[k].base_sha256) for k in (1, 2, 3)] == [(0, 0, n, sha(lines)), (0, 0, 0, sha("")), (1, 0, 1, sha(f"assign:{at}:{at + 16},hex:{at}:{at + 16}"))]
+
+
 def test_secrets_learned(spark, corpus):
     r = random.Random(6)
     key = lambda: "".join(r.choice("abcdefABCDEF0123456789") for _ in range(24))
